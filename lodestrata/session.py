@@ -16,6 +16,11 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def share(spark: SparkSession, value):
+    """A broadcast of any value, classes of this package by value; ``pickle.loads`` its ``.value``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one only for a local master."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
