@@ -14,7 +14,8 @@ posterior per subject; subjects are judged independently, at most ``most`` come
 
 Null or empty texts and texts without subject words get no subject. Labels of unknown subjects
 or of missing documents are ignored; labels by several people weigh by their number. Copies of a
-document are judged alike. Without any usable label no subject is given.
+document are judged alike. Without any usable label, or with labels of one subject only (nothing
+to tell it from), no subject is given.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def _robust(x: np.ndarray, y: np.ndarray, prior: tuple[float, float], strength:
         true = p * if_true / (p * if_true + (1 - p) * if_false)
         curve = _logistic(x, true, prior, strength)
         if noise is None:
-            wrong = float(np.clip(((1 - true) * y).sum() / (1 - true).sum(), 1e-4, 0.1))
+            wrong = float(np.clip(((1 - true) * y).sum() / max((1 - true).sum(), 1e-9), 1e-4, 0.1))
             missing = float(np.clip((true * (1 - y)).sum() / max(true.sum(), 1e-9), 1e-3, 0.3))
     return curve, (wrong, missing)
 
@@ -208,9 +209,10 @@ def train(vectors: DataFrame, labels: DataFrame, subjects: list[str], passes: in
     for i, r in enumerate(rows):
         for subject in sample["votes"].iloc[r]:
             said[i, number[subject]] += 1
+    # At first all words count for the labelled subjects; the background fills up from what they share.
+    part = np.repeat(said / said.sum(1, keepdims=True), np.diff(np.append(starts, len(slots))), 0) * counts[:, None]
     said[:, -1] = said.sum(1)
     start = said / said.sum(1, keepdims=True)
-    part = np.repeat(start, np.diff(np.append(starts, len(slots))), 0) * counts[:, None]
 
     def gather(part):
         return np.stack([np.bincount(slots, part[:, k], SLOTS) for k in range(width)], 1)
