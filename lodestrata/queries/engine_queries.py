@@ -451,7 +451,7 @@ def fts_tokens(spark, d):
     return words.select("doc_key", "field", F.size("w").cast("bigint").alias("n"), F.get("w", F.lit(0)).alias("first"), F.try_element_at("w", F.lit(-1)).alias("last"))
 
 
-@query(f"SELECT field, term, doc_key, tf, len, positions[1] AS first_pos, list_sum(positions) AS pos_sum FROM {POSTINGS}")
+@query(f"SELECT field, term, doc_key, tf, len, positions[1] AS first_pos, CAST(list_sum(positions) AS BIGINT) AS pos_sum FROM {POSTINGS}")
 def fts_postings(spark, d):
     found = search.postings(adapters.text_documents(spark, d))
     return found.select(
@@ -460,7 +460,7 @@ def fts_postings(spark, d):
     )
 
 
-@query(f"SELECT field, term, count(*) AS df, sum(tf) AS total_tf FROM {POSTINGS} GROUP BY field, term")
+@query(f"SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM {POSTINGS} GROUP BY field, term")
 def fts_doc_freq(spark, d):
     return search.document_frequencies(search.postings(adapters.text_documents(spark, d)))
 
@@ -663,6 +663,6 @@ def least_loaded_node(spark, d):
     return placement.least_loaded(reports.where("node_role = 'leader'"), reports.select("node_id").distinct())
 
 
-@query("""SELECT event_type, unnest([0.5, 0.95, 0.99]) AS fraction, unnest(quantile_disc(value, [0.5, 0.95, 0.99])) AS value FROM events GROUP BY event_type""")
+@query("""SELECT event_type, unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS fraction, unnest(quantile_disc(value, [0.5, 0.95, 0.99])) AS value FROM events GROUP BY event_type""")
 def bench_percentiles(spark, d):
     return placement.nearest_rank(adapters.table(spark, d, "events"), "value", [0.5, 0.95, 0.99], ["event_type"])
