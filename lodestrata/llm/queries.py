@@ -26,8 +26,8 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, labels, areas = (_table(spark, sf_dir, n) for n in ("documents", "doc_labels", "subject_areas"))
-    return subjects.subject_areas(documents, labels, areas).select("doc_id", "subject").distinct()
+    documents, labels, areas, items = (_table(spark, sf_dir, n) for n in ("documents", "doc_labels", "subject_areas", "eval_items"))
+    return subjects.subject_areas(documents, labels, areas, foreign=items).select("doc_id", "subject").distinct()
 
 
 def queries() -> dict:

@@ -43,10 +43,16 @@ _PART = re.compile(r"[A-Z]{3,}(?![a-z])|[A-Z]?[a-z]{2,}[a-z]*")
 
 
 class _Slots(dict):
-    """Slot of each word part, remembered."""
+    """Slot of each word part, remembered; -1 for parts that do not count."""
+
+    def __init__(self, left_out=None):
+        self.left_out = left_out
 
     def __missing__(self, part):
-        slot = self[part] = zlib.crc32(part.lower().encode()) & (SLOTS - 1) if len(part) > 2 else -1
+        slot = zlib.crc32(part.lower().encode()) & (SLOTS - 1) if len(part) > 2 else -1
+        if self.left_out is not None and self.left_out[slot]:
+            slot = -1
+        self[part] = slot
         return slot
 
 
@@ -58,12 +64,18 @@ def slot_counts(text, slots) -> tuple[np.ndarray, np.ndarray]:
     return ids[at:], np.log1p(n[at:]).astype(np.float32)
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """doc_id, slots array<int>, counts array<float> (damped, so that boilerplate does not outweigh)."""
+def features(documents: DataFrame, foreign: list[int] | None = None) -> DataFrame:
+    """doc_id, slots array<int>, counts array<float> (damped, so that boilerplate does not outweigh).
+
+    Slots in ``foreign`` are left out.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    shared = share(documents.sparkSession, np.array(foreign or [], np.int32))
 
     def count(batches):
-        slots = _Slots()
+        out = np.zeros(SLOTS, bool)
+        out[pickle.loads(shared.value)] = True
+        slots = _Slots(out)
         for batch in batches:
             found = [slot_counts(t, slots) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": [s for s, _ in found], "counts": [c for _, c in found]})
@@ -257,12 +269,24 @@ def posteriors(vectors: DataFrame, model: Model, least: float = 0.5, most: int =
     return vectors.mapInPandas(judge, f"doc_id {kind}, subject string, posterior double")
 
 
-def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, passes: int = 2, least: float = 0.5, most: int = 2) -> DataFrame:
-    """doc_id, subject, posterior for every subject each document is about."""
+def word_slots(texts: DataFrame, column: str) -> list[int]:
+    """The slots of all words of some texts, ``SLOTS`` at most."""
+    vectors = features(texts.select(F.lit(0).alias("doc_id"), F.col(column).alias("text")))
+    return [r[0] for r in vectors.select(F.explode("slots")).distinct().collect()]
+
+
+def subject_areas(
+    documents: DataFrame, labels: DataFrame, areas: DataFrame, passes: int = 2, least: float = 0.5, most: int = 2, foreign: DataFrame | None = None
+) -> DataFrame:
+    """doc_id, subject, posterior for every subject each document is about.
+
+    ``foreign`` (item_text): texts like test items that may have leaked into documents; their words
+    are not taken for the documents' own.
+    """
     names = [r[0] for r in areas.where(F.col("subject").isNotNull()).select("subject").distinct().orderBy("subject").limit(1001).collect()]
     if len(names) > 1000:
         raise ValueError("more than 1000 subjects")
-    vectors = cut_lineage(features(documents))
+    vectors = cut_lineage(features(documents, word_slots(foreign, "item_text") if foreign is not None else None))
     model = train(vectors, labels, names, passes)
     if model is None:
         return vectors.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("posterior")).limit(0)

@@ -155,3 +155,13 @@ def test_subjects_odd_cases(spark):
     assert subjects.subject_areas(documents, labels.limit(0), areas).count() == 0
     assert subjects.subject_areas(documents.limit(0), labels, areas).count() == 0
     assert subjects.subject_areas(documents, labels, areas.limit(0)).count() == 0
+
+
+def test_words_of_leaked_items_are_not_the_documents_own(spark):
+    rows = [(i, "dough oven whisk yeast" if i % 2 == 0 else "court judge plea verdict") for i in range(40)] + [(50, "dough oven whisk yeast kites ropes bells"), (51, "kites ropes bells")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "cook" if i % 2 == 0 else "law") for i in range(12)] + [(51, "law")], "doc_id long, subject string")
+    areas = spark.createDataFrame([("cook",), ("law",)], "subject string")
+    items = spark.createDataFrame([("Kites, ropes and bells.",), (None,)], "item_text string")
+    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(documents, labels, areas, foreign=items).where("doc_id >= 50").collect()}
+    assert got == {(50, "cook")}
