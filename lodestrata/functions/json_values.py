@@ -28,7 +28,7 @@ def sole_value_sql(text: str) -> str:
     Wrapping in brackets makes trailing garbage a parse error, which a bare ``from_json`` accepts.
     """
     wrapped = f"from_json(concat('[', {text}, ']'), 'array<string>', {_STRICT_SQL})"
-    return f"(CASE WHEN size({wrapped}) = 1 THEN {wrapped}[0] END)"
+    return f"transform(array({wrapped}), w -> CASE WHEN size(w) = 1 THEN w[0] END)[0]"
 
 
 def is_valid_json(text: Column) -> Column:

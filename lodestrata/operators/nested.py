@@ -3,7 +3,8 @@
 A spec lists, per table, the array paths below a record (dots lead through objects and through
 the elements of arrays that are listed themselves). Nested ``transform`` calls attach the path of
 the enclosing element and the position, ``flatten`` joins the levels, and one ``inline`` per target
-array emits its rows. All of it runs inside the JVM; nothing is shuffled before the final distinct.
+array emits its rows. Each text is parsed once per level, all inside the JVM; nothing is shuffled
+before the final distinct.
 
 Defined cases: broken JSON and records that are no object give no rows; absent, null, scalar or
 unreadable arrays are empty; a lone object is element 0; a string holding the JSON text of a
@@ -15,74 +16,91 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.json_values import _STRICT_SQL, sole_value_sql
 
 
-def _member(text: str, name: str) -> str:
-    """SQL for the text of one member of an object, strings decoded."""
-    quoted = name.replace("`", "``")
-    return f"from_json({text}, 'struct<`{quoted}`:string>', {_STRICT_SQL}).`{quoted}`"
+_NODE = "struct<target:string,parent_path:string,node_path:string,position:int,element:string>"
+_NONE = f"cast(array() AS array<{_NODE}>)"
 
 
-def _object(text: str) -> str:
-    """SQL: the text if it holds a JSON object, else NULL."""
-    return f"(CASE WHEN ltrim({text}) LIKE '{{%' THEN {sole_value_sql(text)} END)"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that computes ``value`` once for all its uses in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _elements(text: str) -> str:
-    """SQL for the elements (as texts) of an array or a lone object; empty for anything else."""
-    return (
-        f"CASE WHEN ltrim({text}) LIKE '[%' THEN coalesce(from_json({text}, 'array<string>', {_STRICT_SQL}), array()) "
-        f"WHEN ltrim({text}) LIKE '{{%' THEN array({text}) ELSE cast(array() AS array<string>) END"
-    )
+def _parsed(text: str, kind: str) -> str:
+    """SQL for the one value of a type that ``text`` holds; NULL if there is anything else."""
+    return _let(f"from_json(concat('[', {text}, ']'), 'array<{kind}>', {_STRICT_SQL})", "w", "CASE WHEN size(w) = 1 THEN w[0] END")
 
 
-def _through(text: str, names: list[str]) -> str:
-    for name in names[:-1]:
-        text = _object(_member(text, name))
-    return _member(text, names[-1])
+def _opens(text: str, bracket: str) -> str:
+    return f"ltrim({text}) LIKE '{bracket}%'"
 
 
-def _level(record: str, parent: str, names: list[list[str]], depth: int) -> str:
-    """SQL for array<struct<parent_path,node_path,position,element>> of the array ``names`` below ``record``."""
-    label = ".".join(names[0])
-    here = f"if({parent} = '', '', concat({parent}, '.'))"
-    e, i = f"e{depth}", f"i{depth}"
-    node = f"concat({here}, '{label}[', {i}, ']')"
-    nodes = (
-        f"filter(transform({_elements(_through(record, names[0]))}, ({e}, {i}) -> named_struct("
-        f"'parent_path', {parent}, 'node_path', {node}, 'position', {i}, 'element', {_object(e)})), x -> x.element IS NOT NULL)"
-    )
-    if len(names) == 1:
-        return nodes
-    n = f"n{depth}"
-    below = _level(f"{n}.element", f"{n}.node_path", names[1:], depth + 1)
-    return f"flatten(transform({nodes}, {n} -> {below}))"
-
+def _members(text: str, names: list[str]) -> str:
+    """SQL for the texts of some members of an object (strings decoded); NULL if it is none."""
+    fields = ",".join(f"`{n}`:string" for n in names)
+    return f"CASE WHEN {_opens(text, '{')} THEN {_parsed(text, f'struct<{fields}>')} END"
 
-def _split(path: str, arrays: list[str]) -> list[list[str]]:
-    """The member names between the listed arrays on the way to ``path``."""
-    parts, steps, names = path.split("."), [], []
-    for k, name in enumerate(parts):
-        names.append(name)
-        if ".".join(parts[: k + 1]) in arrays:
-            steps.append(names)
-            names = []
-    return steps
 
-
-def nested_rows(record: str, path: str, arrays: list[str]) -> Column:
-    """The array of child structs for one target array of the record text column ``record``."""
-    return F.expr(_level(record, "''", _split(path, arrays), 0))
+def _elements(text: str) -> str:
+    """SQL for the elements (as texts) of an array or a lone object; NULL for anything else."""
+    return f"CASE WHEN {_opens(text, '[')} THEN {_parsed(text, 'array<string>')} WHEN {_opens(text, '{')} THEN array({text}) END"
+
+
+class _Tree:
+    """Arrays below an object: members lead to arrays or through plain objects to more members."""
+
+    def __init__(self, arrays: list[str]):
+        self.members: dict[str, _Tree] = {}
+        self.target: str | None = None
+        self.label: str | None = None
+        for path in arrays:
+            at, since = self, []
+            parts = path.split(".")
+            for k, name in enumerate(parts):
+                since.append(name)
+                at = at.members.setdefault(name, _Tree([]))
+                if ".".join(parts[: k + 1]) in arrays:
+                    at.target, at.label, since = ".".join(parts[: k + 1]), ".".join(since), []
+
+    def below(self, members: str, parent: str, depth: int) -> str:
+        """SQL for the nodes of all arrays below an object whose members are parsed."""
+        parts = [f"coalesce({t.nodes(f'{members}.`{name}`', parent, depth)}, {_NONE})" for name, t in self.members.items()]
+        return f"concat({', '.join(parts)})"
+
+    def nodes(self, text: str, parent: str, depth: int) -> str:
+        if self.target is None:
+            m = f"m{depth}"
+            return _let(_members(text, list(self.members)), m, f"CASE WHEN {m} IS NULL THEN {_NONE} ELSE {self.below(m, parent, depth + 1)} END")
+        e, i, n, m = (f"{x}{depth}" for x in "einm")
+        node = f"concat(if({parent} = '', '', concat({parent}, '.')), '{self.label}[', {i}, ']')"
+        own = f"array(named_struct('target', '{self.target}', 'parent_path', {parent}, 'node_path', {n}, 'position', {i}, 'element', {e}))"
+        if self.members:
+            inner = _let(_members(e, list(self.members)), m, f"CASE WHEN {m} IS NULL THEN {_NONE} ELSE concat({own}, {self.below(m, n, depth + 1)}) END")
+        else:
+            # Texts that open like an object are one, unless a string of the record opens like that.
+            inner = f"CASE WHEN {_opens(e, '{')} AND (NOT strings_open OR size({_parsed(e, 'map<string,string>')}) >= 0) THEN {own} ELSE {_NONE} END"
+        return f"flatten(transform({_elements(text)}, ({e}, {i}) -> {_let(node, n, inner)}))"
+
+
+def node_arrays(rows: DataFrame, arrays: list[str], keys: list[str], value: str = "row_value") -> DataFrame:
+    """The keys and ``nodes``: per record one array of target, parent_path, node_path, position, element."""
+    record = rows.select(
+        *keys, F.expr(sole_value_sql(value)).alias("record"), F.coalesce(F.col(value).rlike(r'"\s*[\[{]'), F.lit(False)).alias("strings_open")
+    )
+    tree = _Tree(arrays)
+    found = _let(_members("record", list(tree.members)), "r", f"CASE WHEN r IS NULL THEN {_NONE} ELSE {tree.below('r', chr(39) * 2, 0)} END")
+    return record.select(*keys, F.expr(found).alias("nodes"))
 
 
 def flatten_records(rows: DataFrame, arrays: list[str], keys: list[str], value: str = "row_value") -> dict[str, DataFrame]:
     """{array path: flat table}: the keys, parent_path, node_path, position, element (JSON text)."""
-    record = rows.select(*keys, F.expr(f"{_object(sole_value_sql(value))}").alias("record")).where(F.col("record").isNotNull())
-    return {path: record.select(*keys, F.inline(nested_rows("record", path, arrays))) for path in arrays}
+    nodes = node_arrays(rows, arrays, keys, value)
+    return {path: nodes.select(*keys, F.expr(f"inline(filter(nodes, n -> n.target = '{path}'))")).drop("target") for path in arrays}
 
 
 def typed_columns(flat: DataFrame, schema: str) -> DataFrame:
@@ -95,6 +113,6 @@ def all_nodes(rows: DataFrame, spec: dict[str, list[str]]) -> DataFrame:
     """Every object in every listed array: table_name, row_key, parent_path, node_path."""
     found = []
     for table, arrays in spec.items():
-        of = flatten_records(rows.where(F.col("table_name") == table), arrays, ["table_name", "row_key"])
-        found += [flat.select("table_name", "row_key", "parent_path", "node_path") for flat in of.values()]
+        nodes = node_arrays(rows.where(F.col("table_name") == table), arrays, ["table_name", "row_key"])
+        found.append(nodes.select("table_name", "row_key", F.inline("nodes")).select("table_name", "row_key", "parent_path", "node_path"))
     return reduce(DataFrame.unionAll, found).distinct()
