@@ -210,7 +210,8 @@ class Model:
 def train(vectors: DataFrame, labels: DataFrame, subjects: list[str], passes: int = 2, labelled: int = LABELLED) -> Model | None:
     """The model from ``vectors`` (see :func:`features`) and ``labels`` (doc_id, subject); None without labels."""
     width = len(subjects) + 1
-    votes = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_list("subject").alias("votes"))
+    votes = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("votes"))
     votes = votes.orderBy(F.xxhash64("doc_id")).limit(labelled)
     sample = vectors.join(F.broadcast(votes), "doc_id").toPandas()
     rows, slots, counts, starts = laid_out(sample) if len(sample) else ([], None, None, None)
@@ -219,8 +220,8 @@ def train(vectors: DataFrame, labels: DataFrame, subjects: list[str], passes: in
     number = {s: k for k, s in enumerate(subjects)}
     said = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        for subject in sample["votes"].iloc[r]:
-            said[i, number[subject]] += 1
+        for subject, n in sample["votes"].iloc[r].items():
+            said[i, number[subject]] = n
     # At first all words count for the labelled subjects; the background fills up from what they share.
     part = np.repeat(said / said.sum(1, keepdims=True), np.diff(np.append(starts, len(slots))), 0) * counts[:, None]
     said[:, -1] = said.sum(1)
