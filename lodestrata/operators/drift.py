@@ -211,9 +211,11 @@ def consistent_table(rows: DataFrame) -> DataFrame:
         typed.join(lineage, [*FILE, "path"]).where(F.col("type").isNotNull())
         .groupBy("table_name", "target").agg(F.max_by("type", F.struct("written_at", "file_id")).alias("field_type"))
     )
-    per_file = lineage.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("target", "path"))).alias("route"))
+    routes = lineage.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("target", "path"))).alias("route"))
     wide = newest.groupBy("table_name").agg(F.collect_list(F.struct("target", "field_type")).alias("targets"))
-    routed = rows.select(*FILE, "row_key", "row_value").join(per_file, FILE, "left").join(wide, "table_name")
+    # Tables meet their fields file by file, so that a table or file with many rows can be split.
+    per_file = schemas.select(*FILE).join(wide, "table_name").join(routes, FILE, "left").repartition(*FILE)
+    routed = rows.select(*FILE, "row_key", "row_value").join(per_file, FILE)
     flat = routed.select(*FILE, "row_key", "route", "targets", plain_leaves("row_value").alias("leaves"))
     one = flat.select(*FILE, "row_key", "route", "leaves", F.explode("targets").alias("t"))
     raw = F.col("leaves")[F.col("route")[F.col("t.target")]]

@@ -31,5 +31,10 @@ def select_by_index(state: DataFrame, index: DataFrame, path: str, value: str) -
 
 
 def index_entries(index: DataFrame) -> DataFrame:
-    """The logical content: indexed_value and its sorted row keys."""
-    return index.groupBy("indexed_value").agg(F.sort_array(F.collect_list("row_key")).alias("row_keys"))
+    """The logical content in order: one row per (indexed_value, row_key)."""
+    return index.distinct().orderBy("indexed_value", "row_key")
+
+
+def index_summary(index: DataFrame) -> DataFrame:
+    """indexed_value, n, first_key, last_key; combined before the shuffle, so a frequent value is no burden."""
+    return index.groupBy("indexed_value").agg(F.count("*").alias("n"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"))

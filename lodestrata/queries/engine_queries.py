@@ -377,10 +377,14 @@ def index_matches_scan(spark, d):
     return one.crossJoin(_ev(spark, d).sql(text, None).agg(F.count("*").alias("by_scan")))  # one row each
 
 
+@query(f"SELECT json_extract_string(value, '$.k') AS indexed_value, key AS row_key FROM {EV}")
+def index_entries(spark, d):
+    return indexes.index_entries(indexes.build_index(adapters.event_documents(spark, d), "k"))
+
+
 @query(f"SELECT json_extract_string(value, '$.k') AS indexed_value, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM {EV} GROUP BY 1")
 def index_entries_dump(spark, d):
-    entries = indexes.index_entries(indexes.build_index(adapters.event_documents(spark, d), "k"))
-    return entries.select("indexed_value", F.size("row_keys").cast("bigint").alias("n"), F.col("row_keys")[0].alias("first_key"), F.element_at("row_keys", -1).alias("last_key"))
+    return indexes.index_summary(indexes.build_index(adapters.event_documents(spark, d), "k"))
 
 
 _VIEWS = {

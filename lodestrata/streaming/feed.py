@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.operators import versions
+from lodestrata.sources.files import Files
 from lodestrata.sources.version_log import ENTRY
 
+STATE = T.StructType().add("row_key", T.StringType()).add("seq", T.LongType()).add("row_value", T.StringType()).add("is_deleted", T.BooleanType())
+
 
 def read_feed(spark: SparkSession, path: str, schema: T.StructType = ENTRY, after: int = 0, table: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A streaming DataFrame of log entries strictly after a sequence, optionally of one table.
@@ -38,36 +42,45 @@ def streamed_state(feed: DataFrame) -> DataFrame:
 
 
 class Materializer:
-    """Follower state on files: every micro-batch is merged into a new version of the state.
+    """Follower state on files: every micro-batch appends the newest versions of its keys.
 
-    The version is named by the batch, so a batch that is delivered again overwrites its own
-    output; entries at or below the sequence already applied are skipped. Tombstones stay in the
-    state, because an older put may still arrive.
+    A read merges the last base with the batches after it; every ``compact_every`` batches a new
+    base is written. Files are named by the batch, so a batch that is delivered again overwrites
+    its own output. Tombstones stay in the state, because an older put may still arrive.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        from lodestrata.sources.files import Files
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 20):
+        self.spark, self.files, self.compact_every = spark, Files(spark, path), compact_every
 
-        self.spark, self.files = spark, Files(spark, path)
+    def _numbers(self, kind: str) -> list[int]:
+        names = [n for n in self.files.names("") if n.startswith(f"{kind}-") and self.files.exists(f"{n}/_SUCCESS")]
+        return [int(n.split("-")[1]) for n in names]
 
-    def _versions(self) -> list[str]:
-        return [n for n in self.files.names("") if n.startswith("version-") and self.files.exists(f"{n}/_SUCCESS")]
+    def _read(self, kind: str, number: int) -> DataFrame:
+        return self.spark.read.schema(STATE).parquet(self.files.at(f"{kind}-{number:012d}"))
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """row_key, seq, row_value, is_deleted of the newest version (or of the newest one before a batch)."""
-        names = [n for n in self._versions() if before is None or int(n.split("-")[1]) < before]
-        return self.spark.read.parquet(self.files.at(names[-1])) if names else None
+    def read(self) -> DataFrame:
+        """row_key, seq, row_value, is_deleted of every key ever seen."""
+        base = max(self._numbers("base"), default=-1)
+        parts = [self._read("batch", n) for n in self._numbers("batch") if n > base]
+        if base >= 0:
+            parts.append(self._read("base", base))
+        return versions.newest(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], STATE)
 
     def live(self) -> DataFrame:
         return self.read().where("NOT is_deleted").drop("is_deleted")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        old = self.read(batch_id)
         fresh = versions.newest(batch.select("row_key", *versions.VERSION))
-        merged = fresh if old is None else versions.newest(fresh.unionByName(old))
-        merged.write.mode("overwrite").parquet(self.files.at(f"version-{batch_id:012d}"))
-        for name in self._versions()[:-3]:
-            self.files.delete(name)
+        fresh.select(STATE.names).write.mode("overwrite").parquet(self.files.at(f"batch-{batch_id:012d}"))
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self.read().select(STATE.names).write.mode("overwrite").parquet(self.files.at(f"base-{batch_id:012d}"))
+            # The base before and its batches stay for readers that have them open.
+            kept = sorted(self._numbers("base"))[-2:]
+            for kind, last in (("base", kept[0] - 1), ("batch", kept[0])):
+                for number in self._numbers(kind):
+                    if len(kept) > 1 and number <= last:
+                        self.files.delete(f"{kind}-{number:012d}")
 
     def start(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
         return feed.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

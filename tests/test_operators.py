@@ -131,10 +131,20 @@ def test_stream_follows_the_log(spark, tmp_path):
     catch_up()
     catch_up()
     assert triples(state.live()) == {("a", 3, "3")} and state.read().count() == 2
-    state.merge(spark.createDataFrame([(1, "a", "1", False)], LOG), 99)
+    state.merge(spark.createDataFrame([(1, "a", "1", False)], LOG), 98)
     assert triples(state.live()) == {("a", 3, "3")}
 
 
+def test_materialised_state_is_compacted(spark, tmp_path):
+    state = feed.Materializer(spark, str(tmp_path / "state"), compact_every=2)
+    assert state.live().count() == 0
+    for n in range(5):
+        for _ in range(2):
+            state.merge(spark.createDataFrame([(n, "k", str(n), False), (n, f"k{n}", "x", n % 2 == 0)], LOG), n)
+    assert triples(state.live()) == {("k", 4, "4"), ("k1", 1, "x"), ("k3", 3, "x")} and state.read().count() == 6
+    assert sorted(n for n in state.files.names("")) == ["base-000000000001", "base-000000000003", "batch-000000000002", "batch-000000000003", "batch-000000000004"]
+
+
 def test_every_query_matches_its_sql(spark, sf_dir):
     import glob
     import os
