@@ -55,12 +55,15 @@ def field_texts(state: DataFrame, fields: list[str]) -> DataFrame:
 def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     """field, term, doc_key, tf, positions, len of ``texts`` (doc_key, field, text).
 
-    With ``only`` other terms fall away before anything is exploded or shuffled.
+    With ``only`` the postings of those few terms are made within each text, without a shuffle;
+    ``texts`` then has one row per document and field.
     """
     words = texts.select("doc_key", "field", terms(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     if only is not None:
-        placed = F.filter(placed, lambda p: p["term"].isin(only))
+        held = [f"named_struct('term', {_quoted(t)}, 'positions', filter(transform(words, (w, i) -> if(w = {_quoted(t)}, i, null)), i -> i IS NOT NULL))" for t in only]
+        found = words.select("doc_key", "field", "len", F.expr(f"inline(filter(array({', '.join(held)}), p -> size(p.positions) > 0))"))
+        return found.select("field", "term", "doc_key", F.size("positions").alias("tf"), "positions", "len")
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     return (
         words.select("doc_key", "field", "len", F.inline(placed))
         .groupBy("field", "term", "doc_key", "len")
@@ -69,17 +72,24 @@ def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def write_postings(found: DataFrame, target: str) -> None:
     """Postings as Parquet sorted by term within range partitions, so a query reads few row groups."""
     sorted_ = found.repartitionByRange("term", "doc_key").sortWithinPartitions("term", "field", "doc_key")
     sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(target)
 
 
-def bm25(total, average_length: float = AVERAGE_LENGTH):
-    """Column over tf, len and df."""
-    df = F.col("df")
-    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
-    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average_length))
+def idf(total: float):
+    """Column over df."""
+    return F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def weight(average_length: float = AVERAGE_LENGTH):
+    """Column over tf and len: BM25 without the inverse document frequency."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average_length))
 
 
 def matches(found: DataFrame, clauses: list[Clause]) -> DataFrame:
@@ -106,10 +116,12 @@ def rank(found: DataFrame, query: str, total: int, operator: str = "or", average
     if not clauses:
         return found.select("doc_key", F.lit(0.0).alias("score")).limit(0)
     hit = matches(found, clauses)
-    frequency = hit.groupBy("clause").agg(F.count_distinct("doc_key").alias("df"))
-    scored = hit.join(F.broadcast(frequency), "clause")  # one row per clause of the query
-    best = scored.groupBy("doc_key", "clause").agg(F.max(bm25(F.lit(float(max(1, total))), average_length)).alias("s"))
-    out = best.groupBy("doc_key").agg(F.sum("s").alias("score"), F.count("*").alias("n"))
+    # The inverse document frequency is one positive factor per clause, so the best field is known
+    # without it, and both sums below read the same shuffled rows.
+    best = hit.groupBy("doc_key", "clause").agg(F.max(weight(average_length)).alias("w"))
+    frequency = best.groupBy("clause").agg(F.count("w").alias("df"))
+    scored = best.join(F.broadcast(frequency), "clause")  # one row per clause of the query
+    out = scored.groupBy("doc_key").agg(F.sum(F.col("w") * idf(float(max(1, total)))).alias("score"), F.count("*").alias("n"))
     if operator.lower() == "and":
         out = out.where(F.col("n") == len(clauses))
     for phrase in sorted({c.phrase for c in clauses if c.phrase is not None}):
