@@ -69,7 +69,108 @@ def queries() -> dict:
     )}
 
 
+#: SQL over a relation ``{t}`` with a column ``v`` and identifying columns ``{k}``: its leaf fields,
+#: one spelling per value. A value that is no JSON object has no rows.
+_LEAVES = """
+    SELECT {k}, substr(j.fullkey, 3) AS path, j.type AS kind, CASE
+        WHEN j.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN 'n' || CAST(CAST(j.atom AS DOUBLE) AS VARCHAR)
+        WHEN j.type = 'VARCHAR' THEN 's' || CAST(j.atom ->> '$' AS VARCHAR) ELSE 'j' || CAST(j.value AS VARCHAR) END AS leaf
+    FROM {t}, json_tree(CASE WHEN json_valid(v) THEN CASE WHEN json_type(v) = 'OBJECT' THEN v END END) AS j
+    WHERE j.type <> 'OBJECT' AND NOT contains(j.path, '[') AND NOT ends_with(j.fullkey, ']')"""
+_OBJECT = "(json_valid({v}) AND json_type(CASE WHEN json_valid({v}) THEN {v} END) = 'OBJECT')"
+
+
+
+def _held(text: str) -> str:
+    """SQL: the text of a JSON value, or what a string holds if that is JSON."""
+    return f"CASE WHEN json_type({text}) = 'VARCHAR' AND json_valid({text} ->> '$') THEN {text} ->> '$' ELSE CAST({text} AS VARCHAR) END"
+
+
+def _nested_sql() -> str:
+    """The arrays of ``NESTED`` walked level by level."""
+    spec = []
+    for table, arrays in NESTED.items():
+        for path in arrays:
+            above = max((a for a in arrays if path.startswith(a + ".")), key=len, default="")
+            steps = path[len(above) + 1 :].split(".") if above else path.split(".")
+            through = steps[0] if len(steps) == 2 else ""
+            spec.append(f"('{table}', '{path}', '{above}', '{'.'.join(steps)}', '{through}', '{steps[-1]}')")
+    return f"""
+        WITH RECURSIVE spec(table_name, arr, above, label, through, leaf) AS (VALUES {", ".join(spec)}),
+        walk(table_name, row_key, arr, parent_path, node_path, obj) AS (
+            SELECT table_name, row_key, '', '', '', {_held("row_value")} FROM doc_rows WHERE json_valid(row_value)
+            UNION ALL
+            SELECT table_name, row_key, arr, at_path, at_path || CASE WHEN at_path = '' THEN '' ELSE '.' END || label || '[' || i || ']', obj FROM (
+                SELECT table_name, row_key, arr, at_path, label, i, {_held("e")} AS obj FROM (
+                    SELECT table_name, row_key, arr, at_path, label, unnest(list) AS e, generate_subscripts(list, 1) - 1 AS i FROM (
+                        SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [json_extract(v, '$')] ELSE [] END AS list FROM (
+                            SELECT table_name, row_key, arr, at_path, label, {_held("x")} AS v FROM (
+                                SELECT table_name, row_key, arr, at_path, label, json_extract(inner_, '$.' || leaf) AS x FROM (
+                                    SELECT w.table_name, w.row_key, s.arr, w.node_path AS at_path, s.label, s.leaf,
+                                        CASE WHEN s.through = '' THEN w.obj ELSE {_held("json_extract(w.obj, '$.' || s.through)")} END AS inner_
+                                    FROM walk w JOIN spec s ON s.table_name = w.table_name AND s.above = w.arr WHERE json_type(w.obj) = 'OBJECT')
+                                WHERE json_type(inner_) = 'OBJECT'))))
+                WHERE e IS NOT NULL)
+            WHERE json_type(obj) = 'OBJECT')
+        SELECT DISTINCT table_name, row_key, parent_path, node_path FROM walk WHERE node_path <> ''"""
+
+
 ORACLE = {
+    "p2_found": _nested_sql(),
+    "p1_found": f"""
+        WITH rows AS (SELECT table_name, file_id, row_key, row_value AS v FROM kv_files),
+        leaves AS MATERIALIZED ({_LEAVES.format(k="table_name, file_id, row_key", t="rows")}),
+        files AS (SELECT table_name, file_id, lag(file_id) OVER (PARTITION BY table_name ORDER BY written, file_id) AS before
+                  FROM (SELECT table_name, file_id, min(written_at) AS written FROM kv_files GROUP BY ALL)),
+        counts AS (SELECT table_name, file_id, path, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
+                   WHEN 'DOUBLE' THEN 'double' WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind, count(*) AS n FROM leaves GROUP BY ALL),
+        fields AS MATERIALIZED (SELECT table_name, file_id, path, arg_max(kind, struct_pack(n := n, k := kind)) FILTER (WHERE kind IS NOT NULL) AS kind
+                   FROM counts GROUP BY ALL),
+        started AS (SELECT f.table_name, f.file_id, f.path FROM fields f JOIN files USING (table_name, file_id) WHERE before IS NOT NULL
+                    AND NOT EXISTS (SELECT 1 FROM fields o WHERE o.table_name = f.table_name AND o.file_id = before AND o.path = f.path)),
+        ended AS (SELECT files.table_name, files.file_id, o.path FROM files JOIN fields o ON o.table_name = files.table_name AND o.file_id = before
+                  WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = files.table_name AND f.file_id = files.file_id AND f.path = o.path)),
+        held AS MATERIALIZED (SELECT table_name, file_id, row_key, path, min(leaf) AS leaf, any_value(kind) AS kind FROM leaves WHERE kind <> 'NULL' GROUP BY ALL),
+        renamed AS MATERIALIZED (SELECT s.table_name, s.file_id, s.path, e.path AS old_path FROM started s JOIN ended e USING (table_name, file_id) JOIN files USING (table_name, file_id)
+                    JOIN held a ON a.table_name = s.table_name AND a.file_id = before AND a.path = e.path
+                    JOIN held b ON b.table_name = s.table_name AND b.file_id = s.file_id AND b.path = s.path AND b.row_key = a.row_key
+                    GROUP BY ALL HAVING count(*) FILTER (WHERE a.leaf = b.leaf) * 2 > count(*))
+        SELECT table_name, file_id, 'renamed' AS change_kind, path AS field_path, old_path FROM renamed
+        UNION ALL SELECT table_name, file_id, 'added', path, '' FROM started s
+            WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.table_name = s.table_name AND r.file_id = s.file_id AND r.path = s.path)
+        UNION ALL SELECT table_name, file_id, 'removed', path, '' FROM ended e
+            WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.table_name = e.table_name AND r.file_id = e.file_id AND r.old_path = e.path)
+        UNION ALL SELECT f.table_name, f.file_id, 'retyped', f.path, '' FROM fields f JOIN files USING (table_name, file_id)
+            JOIN fields o ON o.table_name = f.table_name AND o.file_id = before AND o.path = f.path WHERE o.kind <> f.kind""",
+    "p4_found": f"""
+        WITH l AS (SELECT table_name, row_key, max(seq) AS seq, arg_max(row_value, seq) AS v, arg_max(coalesce(is_deleted, false), seq) AS gone FROM kv_leader GROUP BY 1, 2),
+        f AS (SELECT table_name, row_key, arg_max(row_value, seq) AS v, arg_max(coalesce(is_deleted, false), seq) AS gone FROM kv_follower GROUP BY 1, 2),
+        applied AS (SELECT n.table_name, arg_max(last_applied_seq, reported_at) AS upto FROM node_status n
+                    JOIN (SELECT table_name, max(node_id) AS node_id FROM kv_follower GROUP BY 1) USING (table_name, node_id) GROUP BY 1),
+        both_ AS MATERIALIZED (SELECT table_name, row_key, l.v AS lv, f.v AS fv, coalesce(NOT l.gone, false) AS here, coalesce(NOT f.gone, false) AS there
+                  FROM l FULL JOIN f USING (table_name, row_key) LEFT JOIN applied USING (table_name) WHERE coalesce(l.seq <= upto, true)),
+        live AS (SELECT *, {_OBJECT.format(v="lv")} AND {_OBJECT.format(v="fv")} AS objects FROM both_ WHERE here AND there AND lv IS DISTINCT FROM fv),
+        lo AS (SELECT table_name, row_key, lv AS v FROM live WHERE objects), fo AS (SELECT table_name, row_key, fv AS v FROM live WHERE objects),
+        a AS ({_LEAVES.format(k="table_name, row_key", t="lo")}), b AS ({_LEAVES.format(k="table_name, row_key", t="fo")})
+        SELECT table_name, row_key, CASE WHEN here THEN 'leader_only' ELSE 'follower_only' END AS finding, '' AS field_path FROM both_ WHERE here <> there
+        UNION ALL SELECT table_name, row_key, 'differs', '' FROM live WHERE NOT objects
+        UNION ALL SELECT table_name, row_key, 'differs', path FROM (SELECT * FROM a WHERE kind <> 'NULL') a FULL JOIN (SELECT * FROM b WHERE kind <> 'NULL') b
+            USING (table_name, row_key, path) WHERE a.leaf IS DISTINCT FROM b.leaf""",
+    "p6_found": f"""
+        WITH s AS (SELECT table_name, snapshot_seq, row_key, min(row_value) AS v FROM table_snapshots GROUP BY 1, 2, 3),
+        o AS (SELECT table_name, snapshot_seq, lag(snapshot_seq) OVER (PARTITION BY table_name ORDER BY snapshot_seq) AS before
+              FROM (SELECT DISTINCT table_name, snapshot_seq FROM table_snapshots)),
+        n AS (SELECT s.*, before FROM s JOIN o USING (table_name, snapshot_seq) WHERE before IS NOT NULL),
+        p AS (SELECT s.table_name, o.snapshot_seq, s.row_key, s.v FROM s JOIN o ON s.table_name = o.table_name AND s.snapshot_seq = o.before),
+        both_ AS MATERIALIZED (SELECT table_name, snapshot_seq, row_key, p.v AS pv, n.v AS nv, p.table_name IS NOT NULL AS had, n.table_name IS NOT NULL AS has
+                  FROM p FULL JOIN n USING (table_name, snapshot_seq, row_key)),
+        live AS (SELECT *, {_OBJECT.format(v="pv")} AND {_OBJECT.format(v="nv")} AS objects FROM both_ WHERE had AND has AND pv IS DISTINCT FROM nv),
+        po AS (SELECT table_name, snapshot_seq, row_key, pv AS v FROM live WHERE objects), no AS (SELECT table_name, snapshot_seq, row_key, nv AS v FROM live WHERE objects),
+        a AS ({_LEAVES.format(k="table_name, snapshot_seq, row_key", t="po")}), b AS ({_LEAVES.format(k="table_name, snapshot_seq, row_key", t="no")})
+        SELECT table_name, snapshot_seq, row_key, CASE WHEN has THEN 'added' ELSE 'removed' END AS change_kind FROM both_ WHERE had <> has
+        UNION ALL SELECT table_name, snapshot_seq, row_key, 'changed' FROM live WHERE NOT objects
+        UNION ALL SELECT DISTINCT table_name, snapshot_seq, row_key, 'changed' FROM (SELECT * FROM a WHERE kind <> 'NULL') a FULL JOIN (SELECT * FROM b WHERE kind <> 'NULL') b
+            USING (table_name, snapshot_seq, row_key, path) WHERE a.leaf IS DISTINCT FROM b.leaf""",
     "p3_found": """
         WITH e AS (SELECT seq, arg_min(committed_at, delivery_id) AS committed_at FROM change_log GROUP BY seq),
         c AS (SELECT DISTINCT consumer FROM run_log)

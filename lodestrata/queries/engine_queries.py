@@ -323,10 +323,12 @@ def join_key_key(spark, d):
     return keyed_joins.join_states(t.state("users"), t.state("cust"), None, None).select(F.col("left_key").alias("user_key"), F.col("right_key").alias("customer_key"))
 
 
-@query(f"SELECT e.key AS event_key, u.row_key AS user_key FROM {EV} e JOIN {STATE} u ON json_extract_string(e.value, '$.k') = json_extract_string(u.row_value, '$.k')")
+@query(f"""SELECT e.key AS event_key, 'code:' || c.k AS code_key FROM {EV} e JOIN (SELECT unnest(range(100)) AS k) c ON json_extract_string(e.value, '$.k') = CAST(c.k AS VARCHAR)""")
 def join_json_json(spark, d):
-    t = _join_tables(spark, d)
-    return keyed_joins.join_states(t.state("ev"), t.state("users"), "k", "k").select(F.col("left_key").alias("event_key"), F.col("right_key").alias("user_key"))
+    """Events with the code their JSON names; the codes hold theirs in JSON too."""
+    codes = spark.range(100).select(F.format_string("code:%d", "id").alias("row_key"), F.format_string('{"id": {"k": "%d"}}', "id").alias("row_value"))
+    found = keyed_joins.join_states(adapters.event_documents(spark, d), codes, "k", "id.k")
+    return found.select(F.col("left_key").alias("event_key"), F.col("right_key").alias("code_key"))
 
 
 @query(f"SELECT c.key AS customer_key, o.key AS order_key FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer")
@@ -370,11 +372,12 @@ def index_eq_lookup_in_range(spark, d):
     return _indexed(spark, d).sql("SELECT key FROM ev WHERE key <= 'event:00005000' AND value.k = '12'")
 
 
-@query(f"SELECT count(*) AS by_index, count(*) AS by_scan FROM {EV} WHERE json_extract_string(value, '$.k') = '31'")
+@query(f"""SELECT unnest(['by_index', 'by_scan']) AS way, count(*) AS n FROM {EV} WHERE json_extract_string(value, '$.k') = '31'""")
 def index_matches_scan(spark, d):
     text = "SELECT key FROM ev WHERE value.k = '31' LIMIT 1000000"
-    one = _indexed(spark, d).sql(text, None).agg(F.count("*").alias("by_index"))
-    return one.crossJoin(_ev(spark, d).sql(text, None).agg(F.count("*").alias("by_scan")))  # one row each
+    ways = {"by_index": _indexed(spark, d).sql(text, None), "by_scan": _ev(spark, d).sql(text, None)}
+    one, two = (rows.agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), "n") for way, rows in ways.items())
+    return one.unionByName(two)
 
 
 @query(f"SELECT json_extract_string(value, '$.k') AS indexed_value, key AS row_key FROM {EV}")
@@ -542,9 +545,9 @@ def tx_overlay_delete(spark, d):
 def tx_commit_state(spark, d):
     """The staged writes appended to the log after its last sequence."""
     log = adapters.event_log(spark, d).drop("table_name")
-    top = log.agg(F.max("seq").alias("top"))
+    top = log.agg(F.max("seq")).first()[0]
     staged = overlay.last_writes(spark.createDataFrame(_STAGED, "row_key string, row_value string, is_deleted boolean, staged_at bigint"))
-    committed = staged.crossJoin(F.broadcast(top)).select((F.col("top") + 1).alias("seq"), "row_key", "row_value", "is_deleted")  # one row
+    committed = staged.select(F.lit(top + 1).alias("seq"), "row_key", "row_value", "is_deleted")
     return versions.latest_state(log.unionByName(committed)).select("row_key", "row_value")
 
 

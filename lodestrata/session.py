@@ -16,6 +16,19 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+#: Settings for large runs; none is needed for right results.
+TUNING = {
+    "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.parquet.filterPushdown": "true", "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+}
+
+
+def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """The builder with the settings that the operators are planned for."""
+    return builder.config(map=TUNING)
+
+
 def share(spark: SparkSession, value):
     """A broadcast of any value, classes of this package by value; ``pickle.loads`` its ``.value``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
