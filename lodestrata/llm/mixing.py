@@ -81,13 +81,13 @@ def budgets(counts: DataFrame, targets: DataFrame, refill: bool = False) -> Data
         F.max(F.greatest(F.coalesce("size_ratio", F.lit(0.0)), F.lit(0.0))).alias("ratio"),
     )
     held = counts.groupBy("source").agg(F.sum("tokens").alias("available"))
-    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus"))
+    corpus = counts.agg(F.sum("tokens")).first()[0] or 0
     mix = Window.partitionBy("mix_name")
     weights = F.sum("weight").over(mix)
-    t = clean.join(held, "source", "left").join(F.broadcast(total), F.lit(True))
+    t = clean.join(held, "source", "left")
     t = t.select(
         "mix_name", "source", F.when(weights > 0, F.col("weight") / weights).otherwise(0.0).alias("target_share"),
-        (F.max("ratio").over(mix) * F.col("corpus")).alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"), "repeats",
+        (F.max("ratio").over(mix) * corpus).alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"), "repeats",
     ).withColumn("cap", F.col("available") * F.col("repeats"))
     t = t.withColumn("budget", F.least(F.col("target_share") * F.col("wanted"), F.col("cap").cast("double")))
     if refill:
