@@ -1,12 +1,14 @@
 """One delivery of each message, from disjoint ranges of sequences already seen.
 
 Per producer and chunk of the sequence space a state of disjoint ranges [low, high] is kept. A
-delivery is accepted if its number is uncovered by the ranges and by the deliveries before it;
+delivery is accepted if its number is uncovered by the ranges and it is the first of its batch;
 accepted numbers are merged into the ranges. Identifiers without a usable number are resolved by
-an exact keyed lookup on their text. The delivery with the smallest ``delivery_id`` wins.
+an exact keyed lookup on their text. The delivery with the smallest ``delivery_id`` wins; repeated
+rows of that delivery are the same delivery. A row without ``delivery_id`` is dropped only if its
+number was seen in an earlier batch.
 
 A number with very many deliveries is thinned first: salted groups keep their smallest delivery,
-so that at most ``salts`` deliveries of one number meet in a task.
+so that few deliveries of one number meet in a task.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ CHUNK = 65536
 def thin(rows: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """``rows`` with ``surely_late``: not the smallest delivery_id of its salted group."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.lit(salts)))
-    group = Window.partitionBy(*keys, "salt").orderBy("delivery_id")
-    return salted.withColumn("surely_late", F.row_number().over(group) > 1).drop("salt")
+    first = F.min("delivery_id").over(Window.partitionBy(*keys, "salt"))
+    return salted.withColumn("surely_late", F.coalesce(F.col("delivery_id") > first, F.lit(False))).drop("salt")
 
 
 def screen(deliveries: DataFrame, seen: DataFrame | None = None, producer: Column | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -41,12 +43,14 @@ def screen(deliveries: DataFrame, seen: DataFrame | None = None, producer: Colum
         events = events.unionByName(seen.select(
             "producer", F.floor(F.col("low") / chunk).alias("chunk"), "low", "high", F.lit(None).cast("bigint").alias("delivery_id"), F.lit(0).alias("arrived"),
         ))
-    scan = Window.partitionBy("producer", "chunk").orderBy("low", "arrived", F.col("delivery_id").asc_nulls_first())
+    scan = Window.partitionBy("producer", "chunk").orderBy("low", "arrived", "delivery_id")
     before = scan.rowsBetween(Window.unboundedPreceding, -1)
-    judged = events.withColumn("covered_to", F.max("high").over(before)).where("arrived = 1")
-    return judged.select(
-        "delivery_id", "producer", F.col("low").alias("seq"), F.coalesce(F.col("covered_to") >= F.col("low"), F.lit(False)).alias("late")
-    ).unionByName(late)
+    seen_to = F.max(F.when(F.col("arrived") == 0, F.col("high"))).over(before)
+    group = Window.partitionBy("producer", "chunk", "low").orderBy("arrived", "delivery_id")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    judged = events.withColumn("seen_to", seen_to).withColumn("first", F.min("delivery_id").over(whole)).where("arrived = 1")
+    is_late = F.coalesce(F.col("seen_to") >= F.col("low"), F.lit(False)) | F.coalesce(F.col("delivery_id") > F.col("first"), F.lit(False))
+    return judged.select("delivery_id", "producer", F.col("low").alias("seq"), is_late.alias("late")).unionByName(late)
 
 
 def merge_ranges(accepted: DataFrame, seen: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -84,7 +88,8 @@ def screen_identifiers(deliveries: DataFrame, seen: DataFrame | None = None, see
         rest = rest.join(known, "identifier", "left")
     else:
         rest = rest.withColumn("known", F.lit(None).cast("boolean"))
-    first = Window.partitionBy("identifier").orderBy("delivery_id")
-    parts.append(rest.select("delivery_id", (F.coalesce("known", F.lit(False)) | (F.row_number().over(first) > 1)).alias("late")))
+    first = F.min("delivery_id").over(Window.partitionBy("identifier"))
+    repeated = F.coalesce(F.col("delivery_id") > first, F.lit(False))
+    parts.append(rest.select("delivery_id", (F.coalesce("known", F.lit(False)) | repeated).alias("late")))
     parts.append(parsed.where(F.col("identifier").isNull()).select("delivery_id", F.lit(False).alias("late")))
     return reduce(DataFrame.unionByName, parts)
