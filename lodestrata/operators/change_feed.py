@@ -40,8 +40,11 @@ def read_live(inserts: DataFrame, removed: DataFrame, values: bool = True) -> Da
 
     Repeated deliveries of one sequence give one row (the largest value text, should they differ).
     """
-    newest = F.max(F.struct("seq", "row_value") if values else F.struct("seq")).alias("r")
-    i = inserts.groupBy(*KEY).agg(newest).select(*KEY, "r.*").alias("i")
+    grouped = inserts.groupBy(*KEY)
+    if values:
+        i = grouped.agg(F.max(F.struct("seq", "row_value")).alias("r")).select(*KEY, "r.*").alias("i")
+    else:
+        i = grouped.agg(F.max("seq").alias("seq")).alias("i")
     d = removed.groupBy(*KEY).agg(F.max("seq").alias("seq")).alias("d")
     later = (
         F.col("i.table_name").eqNullSafe(F.col("d.table_name")) & F.col("i.row_key").eqNullSafe(F.col("d.row_key"))
