@@ -144,29 +144,39 @@ def signed_hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _typed_leaves(text):
+def parsed_object(text):
+    """The parsed JSON object of a text, or None."""
     if text is None:
-        return []
+        return None
     try:
         record = load_json(text)
     except ValueError:
-        return []
-    if not isinstance(record, dict):
-        return []
-    return [
-        (printable(path), type_name(value), None if value is None else signed_hash(canonical(value)))
-        for path, value in dict(leaves(record)).items()
-    ]
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def leaf_types(text) -> list[tuple[str, str | None]]:
+    """(path, type) of every leaf of a JSON object; empty for any other text."""
+    record = parsed_object(text)
+    return [] if record is None else [(printable(path), type_name(value)) for path, value in dict(leaves(record)).items()]
 
 
 _TEXT = T.StringType()
-_LEAF = T.StructType().add("path", _TEXT).add("type", _TEXT).add("value_hash", T.LongType())
+_LEAF = T.StructType().add("path", _TEXT).add("value_hash", T.LongType())
 
 
 @F.pandas_udf(T.ArrayType(_LEAF))
-def typed_leaves(texts: pd.Series) -> pd.Series:
-    """Leaf paths of each JSON object with type and value hash; empty for anything else."""
-    return texts.map(_typed_leaves)
+def leaf_hashes(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Value hashes of the wanted paths that a JSON object holds a non-null value under."""
+
+    def one(text, paths):
+        record = parsed_object(text)
+        if record is None:
+            return []
+        found = {printable(path): value for path, value in leaves(record) if value is not None}
+        return [(path, signed_hash(canonical(found[path]))) for path in paths if path in found]
+
+    return pd.Series([one(t, w) for t, w in zip(texts, wanted)], dtype=object)
 
 
 def _value_hash(text):

@@ -13,21 +13,37 @@ Duplicate rows of a key count once, by the smallest value hash.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import plain_leaves, typed_leaves
-from lodestrata.session import cut_lineage
+from lodestrata.functions.json_values import leaf_hashes, leaf_types, plain_leaves
+from lodestrata.session import cut_lineage, ship
 
 FILE = ["table_name", "file_id"]
 
 
+def leaf_counts(rows: DataFrame) -> DataFrame:
+    """table_name, file_id, path, type, n: leaves counted per Arrow batch, to be summed up."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in FILE]
+
+    def count(batches):
+        for batch in batches:
+            table, file, value = (c.to_pylist() for c in batch.columns)
+            seen = Counter((t, f, *leaf) for t, f, v in zip(table, file, value) for leaf in leaf_types(v))
+            columns = list(zip(*seen)) or [()] * 4
+            outer = [batch.schema.field(i).type for i in range(2)]
+            arrays = [pa.array(c, t) for c, t in zip([*columns, seen.values()], [*outer, pa.string(), pa.string(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*FILE, "path", "type", "n"])
+
+    return rows.select(*FILE, "row_value").mapInArrow(count, f"table_name {kinds[0]}, file_id {kinds[1]}, path string, type string, n bigint")
+
+
 def file_schemas(rows: DataFrame) -> DataFrame:
     """One row per file: table_name, file_id, written_at, fields array<struct<path,type>>, fingerprint."""
-    counts = (
-        rows.select(*FILE, F.explode(typed_leaves("row_value")).alias("f"))
-        .groupBy(*FILE, "f.path", "f.type").agg(F.count("*").alias("n"))
-    )
+    counts = leaf_counts(rows).groupBy(*FILE, "path", "type").agg(F.sum("n").alias("n"))
     fields = (
         counts.groupBy(*FILE, "path")
         .agg(F.max(F.when(F.col("type").isNotNull(), F.struct("n", "type"))).alias("most"))
@@ -101,10 +117,9 @@ def _renames(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     r, w = rows.alias("r"), wanted.alias("w")
     routed = r.join(
         w, F.col("r.table_name").eqNullSafe(F.col("w.table_name")) & (F.col("r.file_id") == F.col("w.file_id"))
-    ).select("r.table_name", "later", "is_new", "row_key", "paths", typed_leaves("row_value").alias("leaves"))
+    ).select("r.table_name", "later", "is_new", "row_key", leaf_hashes("row_value", "paths").alias("leaves"))
     held = (
-        routed.select("table_name", "later", "is_new", "row_key", "paths", F.explode("leaves").alias("f"))
-        .where(F.array_contains("paths", F.col("f.path")) & F.col("f.value_hash").isNotNull())
+        routed.select("table_name", "later", "is_new", "row_key", F.explode("leaves").alias("f"))
         .groupBy("table_name", "later", "row_key", "is_new", "f.path").agg(F.min("f.value_hash").alias("h"))
     )
     leaf = F.struct("path", "h")
@@ -228,3 +243,6 @@ def consistent_table(rows: DataFrame) -> DataFrame:
         *FILE, "row_key", "field_path", "field_type", F.coalesce(fits, "raw").alias("value"),
         (F.col("raw").isNotNull() & fits.isNull()).alias("cast_failed"),
     ).distinct()
+
+
+ship(__name__)
