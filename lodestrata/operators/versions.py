@@ -71,12 +71,14 @@ def compact(*runs: DataFrame, keys: tuple[str, ...] = ("row_key",), full: bool =
     return merged.where(~F.col("is_deleted")) if full else merged
 
 
-def assign_sequences(rows: DataFrame, base: int, order: list[str | Column]) -> DataFrame:
-    """``rows`` with seq = base + 1, base + 2, ... in the given order, without gaps.
+def assign_sequences(rows: DataFrame, base: int, order: list[str | Column] | None = None) -> DataFrame:
+    """``rows`` with seq = base + 1, base + 2, ... in the given order (else as they come), without gaps.
 
     Range partitions are sorted and counted; only one count per partition meets in one place.
     """
-    ranged = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut_lineage(rows.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
