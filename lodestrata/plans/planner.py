@@ -36,6 +36,10 @@ class Tables:
     def sql(self, text: str, most_rows: int | None = MOST_ROWS) -> DataFrame:
         return Planner(self, most_rows).select(ast.parse(text))
 
+    def whole(self, text: str) -> DataFrame:
+        """All rows of a SELECT, in no order; a LIMIT counts only if the text has one."""
+        return Planner(self, None).select(ast.parse(text), limited=False)
+
 
 class Planner:
     """Plans SELECTs over a source of states.

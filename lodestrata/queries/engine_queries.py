@@ -115,11 +115,21 @@ def doc_value_exact(spark, d):
     return _ev(spark, d).sql("SELECT key FROM ev WHERE value = '{\"k\": 69}' LIMIT 1000")
 
 
+@query(f"SELECT key FROM {EV} WHERE value = '{{\"k\": 69}}'")
+def doc_value_exact_whole(spark, d):
+    return _ev(spark, d).whole("SELECT key FROM ev WHERE value = '{\"k\": 69}'")
+
+
 @query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '69' ORDER BY key LIMIT 1000")
 def doc_json_eq_int(spark, d):
     return _ev(spark, d).sql("SELECT key, value FROM ev WHERE value.k = '69' LIMIT 1000")
 
 
+@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '69'")
+def doc_json_eq_int_whole(spark, d):
+    return _ev(spark, d).whole("SELECT key, value FROM ev WHERE value.k = '69'")
+
+
 @query(f"SELECT key, value FROM {EV} WHERE key >= 'event:00000100' AND json_extract_string(value, '$.k') = '69' ORDER BY key LIMIT 50")
 def doc_json_eq_in_range(spark, d):
     return _ev(spark, d).sql("SELECT key, value FROM ev WHERE key >= 'event:00000100' AND value.k = '69' LIMIT 50")
@@ -248,6 +258,11 @@ def rel_select_text_eq_ci(spark, d):
     return _customers(spark, d).sql("SELECT c_name, c_custkey FROM customer WHERE c_mktsegment = 'bUiLdInG' LIMIT 1000")
 
 
+@query("SELECT c_name, c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def rel_select_text_eq_ci_whole(spark, d):
+    return _customers(spark, d).whole("SELECT c_name, c_custkey FROM customer WHERE c_mktsegment = 'bUiLdInG'")
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 12")
 def rel_select_star_limit(spark, d):
     return _customers(spark, d).sql("SELECT * FROM customer LIMIT 12")
@@ -348,12 +363,23 @@ def join_star_projection(spark, d):
     return _join_tables(spark, d).sql("SELECT * FROM users JOIN cust ON users.key = cust.key")
 
 
+@query(f"""SELECT u.row_key AS "users.key", u.row_value AS "users.value", c.key AS "cust.key", c.value AS "cust.value"
+           FROM {STATE} u JOIN {_CUST} c ON u.row_key = c.key""")
+def join_star_projection_whole(spark, d):
+    return _join_tables(spark, d).whole("SELECT * FROM users JOIN cust ON users.key = cust.key")
+
+
 @query(f"""SELECT c.key AS "cust.key", o.key AS "ord.key" FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer
            WHERE c.key BETWEEN '10' AND '12' ORDER BY c.key, o.key LIMIT 1000""")
 def join_where(spark, d):
     return _join_tables(spark, d).sql("SELECT cust.key, ord.key FROM cust JOIN ord ON cust.key = ord.value.customerId WHERE cust.key BETWEEN '10' AND '12' LIMIT 1000")
 
 
+@query(f"""SELECT c.key AS "cust.key", o.key AS "ord.key" FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer WHERE c.key BETWEEN '10' AND '12'""")
+def join_where_whole(spark, d):
+    return _join_tables(spark, d).whole("SELECT cust.key, ord.key FROM cust JOIN ord ON cust.key = ord.value.customerId WHERE cust.key BETWEEN '10' AND '12'")
+
+
 # -- indexes and views -------------------------------------------------------------------------
 
 
@@ -367,6 +393,11 @@ def index_eq_lookup(spark, d):
     return _indexed(spark, d).sql("SELECT key, value FROM ev WHERE value.k = '12' LIMIT 1000")
 
 
+@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '12'")
+def index_eq_lookup_whole(spark, d):
+    return _indexed(spark, d).whole("SELECT key, value FROM ev WHERE value.k = '12'")
+
+
 @query(f"SELECT key FROM {EV} WHERE key <= 'event:00005000' AND json_extract_string(value, '$.k') = '12' ORDER BY key LIMIT 100")
 def index_eq_lookup_in_range(spark, d):
     return _indexed(spark, d).sql("SELECT key FROM ev WHERE key <= 'event:00005000' AND value.k = '12'")
@@ -407,11 +438,21 @@ def view_filter(spark, d):
     return _viewed(spark, d).sql("SELECT * FROM hot LIMIT 1000")
 
 
+@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '7'")
+def view_filter_whole(spark, d):
+    return _viewed(spark, d).whole("SELECT * FROM hot")
+
+
 @query(f"SELECT key FROM {EV} WHERE json_extract_string(value, '$.k') = '7' AND key >= 'event:00002000' ORDER BY key LIMIT 1000")
 def view_over_view(spark, d):
     return _viewed(spark, d).sql("SELECT key FROM hot_late LIMIT 1000")
 
 
+@query(f"SELECT key FROM {EV} WHERE json_extract_string(value, '$.k') = '7' AND key >= 'event:00002000'")
+def view_over_view_whole(spark, d):
+    return _viewed(spark, d).whole("SELECT key FROM hot_late")
+
+
 @query("SELECT c_name FROM customer WHERE lower(c_mktsegment) = 'building' AND c_custkey >= 100 ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 20")
 def view_over_relational(spark, d):
     return _viewed(spark, d).sql("SELECT c_name FROM builders WHERE c_custkey >= 100 LIMIT 20")
