@@ -115,7 +115,7 @@ class ItemIndex:
             for k, item in enumerate(self.templates):
                 if window_length(len(item), altered) == w:
                     keys.append(self.keys(item, w))
-                    owners.append(np.full(len(item) - w + 1, k, np.int64) * 65536 + np.minimum(np.arange(len(item) - w + 1), 65535))
+                    owners.append((np.full(len(item) - w + 1, k, np.int64) << 32) + np.arange(len(item) - w + 1))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(keys, kind="stable")
             unique, start, count = np.unique(keys[order], return_index=True, return_counts=True)
@@ -163,12 +163,12 @@ class ItemIndex:
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             owner = owners[np.repeat(start[slot], n) + offset]
             where = np.repeat(at, n)
-            item = owner >> 16
+            item = owner >> 32
             often = np.bincount(item, minlength=len(self.ids))
             for k in np.nonzero(often >= np.maximum(self.needed, 1))[0]:
                 if window_length(self.length[k], self.altered) == w:
                     mine = item == k
-                    out[int(k)] = where[mine], (owner & 65535)[mine]
+                    out[int(k)] = where[mine], (owner & (2**32 - 1))[mine]
         return out
 
     def regions(self, k: int, where: np.ndarray, inner: np.ndarray, size: int):

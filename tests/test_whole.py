@@ -2,7 +2,9 @@
 
 import pytest
 
-from lodestrata.queries import engine_queries
+from lodestrata.llm import leakage
+from lodestrata.operators import exactly_once, incremental
+from lodestrata.queries import data_problems, engine_queries
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -20,3 +22,11 @@ def test_no_row_is_cut(spark, name):
     want = sorted(map(repr, con.sql(sql).fetchall()))
     got = engine_queries.QUERIES[f"{name}_whole"](spark, LARGE)
     assert sorted(repr(tuple(r)) for r in got.collect()) == want and len(want) > 900
+
+
+def test_passages_from_the_end_of_a_very_long_item():
+    item = [f"w{i}x" for i in range(70_000)]
+    index = leakage.ItemIndex([(1, " ".join(item))], 10, 0.25)
+    for at in (0, 65_530, 65_540, len(item) - 10):
+        assert index.search("int x; // " + " ".join(item[at : at + 10])) == [(1, "passage")], at
+    assert not index.search(" ".join(item[-9:]))
