@@ -18,7 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage
+
 CHUNK = 65536
+#: Batches that a table of deliveries is screened in.
+BATCHES = 4
 
 
 def thin(rows: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
@@ -65,6 +69,27 @@ def merge_ranges(accepted: DataFrame, seen: DataFrame | None = None, chunk: int
     return islands.groupBy("producer", "chunk", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("producer", "low", "high")
 
 
+def screen_batches(deliveries: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """As :func:`screen`, batch by batch in order of delivery_id: each batch is screened against the
+    ranges of those before it and its accepted numbers are merged into them.
+
+    A row without ``delivery_id`` stands in no batch and is never late.
+    """
+    span = deliveries.where(F.col("seq").isNotNull()).agg(F.min("delivery_id"), F.max("delivery_id")).first()
+    without = deliveries.where(F.col("seq").isNotNull() & F.col("delivery_id").isNull())
+    parts = [without.select("delivery_id", F.lit("").alias("producer"), "seq", F.lit(False).alias("late"))]
+    seen = None
+    if span[0] is not None:
+        low, width = span[0], -(-(span[1] - span[0] + 1) // batches)
+        for n in range(batches):
+            first = low + n * width
+            batch = deliveries.where(F.col("delivery_id").between(first, first + width - 1))
+            parts.append(screen(batch, seen))
+            if n < batches - 1:
+                seen = cut_lineage(merge_ranges(parts[-1].where("NOT late"), seen))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parse_identifier(text: Column) -> Column:
     """struct<producer,seq> of an identifier like ``producer:17``; NULL if it is malformed."""
     number = F.expr("try_cast(regexp_extract(identifier, ':([0-9]{1,18})$', 1) AS bigint)")

@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "change_log")
-    return exactly_once.screen(log.select("delivery_id", "seq")).where("late").select("seq", "delivery_id")
+    return exactly_once.screen_batches(log.select("delivery_id", "seq")).where("late").select("seq", "delivery_id")
 
 
 def queries() -> dict:

@@ -30,3 +30,25 @@ def test_passages_from_the_end_of_a_very_long_item():
     for at in (0, 65_530, 65_540, len(item) - 10):
         assert index.search("int x; // " + " ".join(item[at : at + 10])) == [(1, "passage")], at
     assert not index.search(" ".join(item[-9:]))
+
+
+def test_p7_found_comes_from_ranges_carried_over_batches(spark, sf_dir, monkeypatch):
+    merged = []
+
+    def merge(accepted, seen=None, chunk=exactly_once.CHUNK, build=exactly_once.merge_ranges):
+        merged.append(build(accepted, seen, chunk))
+        return merged[-1]
+
+    monkeypatch.setattr(exactly_once, "merge_ranges", merge)
+    got = sorted(map(tuple, data_problems.p7_found(spark, sf_dir).select("seq", "delivery_id").collect()))
+    log = spark.read.parquet(f"{sf_dir}/change_log.parquet").select("seq", "delivery_id").toPandas().dropna()
+    late = log[log.delivery_id > log.groupby("seq").delivery_id.transform("min")]
+    assert got == sorted(zip(late.seq, late.delivery_id)) and got
+    assert len(merged) == exactly_once.BATCHES - 1 and 0 < merged[0].count() and merged[0].agg({"high": "max"}).first()[0] <= log.seq.max()
+
+
+def test_odd_deliveries_over_batches(spark):
+    rows = [(1, 10), (1, 10), (2, 11), (90, 10), (100, 12), (101, 12), (None, 10), (None, None), (5, None)]
+    got = exactly_once.screen_batches(spark.createDataFrame(rows, "delivery_id long, seq long"))
+    assert sorted(tuple(r) for r in got.where("late").select("seq", "delivery_id").collect()) == [(10, 90), (12, 101)]
+    assert exactly_once.screen_batches(spark.createDataFrame([], "delivery_id long, seq long")).count() == 0
