@@ -91,19 +91,17 @@ def unprocessed_entries(entries: DataFrame, runs: DataFrame, block: int = 8192)
     """Entries of a log that none of a consumer's successful runs has processed.
 
     ``entries``: seq (unique), committed_at. ``runs``: consumer, outcome, from_seq (exclusive),
-    to_seq (inclusive), read_at. Blocks of the sequence space are the input units. A block that one
-    successful run covers as it stands now (same size, same checksum, nothing committed after the
-    run read it) is in that consumer's manifest and falls out in the anti-join; only the other
-    blocks are searched entry by entry. Null outcomes count as not successful, entries without a
+    to_seq (inclusive), read_at. Blocks of the sequence space are the input units. Each successful
+    run puts its blocks into its consumer's manifest with the size and checksum of the entries that
+    it could see (in its range and committed when it read). A block that stands so now falls out in
+    the anti-join; blocks changed since or seen in part do not, and only these are searched entry
+    by entry. Null outcomes count as not successful, entries without a
     commit time as never processed, entries without a sequence are left out.
     Result: consumer, seq.
     """
     entries = entries.where(F.col("seq").isNotNull()).withColumn("unit", F.floor(F.col("seq") / block))
-    listing = entries.groupBy("unit").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64("seq", "committed_at")).alias("checksum"),
-        F.min("seq").alias("low"), F.max("seq").alias("high"), F.max("committed_at").alias("newest"),
-        F.count_if(F.col("committed_at").isNull()).alias("undated"),
-    )
+    content = F.count("*").alias("size"), F.bit_xor(F.xxhash64("seq", "committed_at")).alias("checksum")
+    listing = entries.groupBy("unit").agg(*content)
     span = entries.agg(F.min("seq"), F.max("seq")).first()
     if span[0] is None:
         return runs.select("consumer", F.lit(None).cast("bigint").alias("seq")).limit(0)
@@ -120,8 +118,8 @@ def unprocessed_entries(entries: DataFrame, runs: DataFrame, block: int = 8192)
         .groupBy("consumer", "unit", "after", "upto").agg(F.max("read_at").alias("read_at"))
     )
     manifest = (
-        done.join(listing, "unit")
-        .where("after < low AND upto >= high AND newest <= read_at AND undated = 0")
+        entries.join(done, "unit").where("seq > after AND seq <= upto AND committed_at <= read_at")
+        .groupBy("consumer", "unit", "after", "upto", "read_at").agg(*content)
         .select("consumer", "unit", "size", "checksum")
     )
     consumers = runs.where(F.col("consumer").isNotNull()).select("consumer").distinct()

@@ -52,3 +52,20 @@ def test_odd_deliveries_over_batches(spark):
     got = exactly_once.screen_batches(spark.createDataFrame(rows, "delivery_id long, seq long"))
     assert sorted(tuple(r) for r in got.where("late").select("seq", "delivery_id").collect()) == [(10, 90), (12, 101)]
     assert exactly_once.screen_batches(spark.createDataFrame([], "delivery_id long, seq long")).count() == 0
+
+
+def test_the_manifest_holds_what_a_run_could_see(spark, monkeypatch):
+    taken = []
+
+    def pending(listing, manifest, by=None, join=incremental.pending_units):
+        taken.extend([listing, manifest])
+        return join(listing, manifest, by)
+
+    monkeypatch.setattr(incremental, "pending_units", pending)
+    entries = spark.createDataFrame([(1, 10), (2, 10), (3, 30), (4, 10), (11, 10), (12, 10)], "seq long, committed_at long")
+    runs = spark.createDataFrame([("a", "succeeded", 0, 20, 20)], "consumer string, outcome string, from_seq long, to_seq long, read_at long")
+    got = incremental.unprocessed_entries(entries, runs, block=10).collect()
+    assert [tuple(r) for r in got] == [("a", 3)]
+    sizes = [{(r.consumer, r.unit): r["size"] for r in rows.collect()} for rows in taken]
+    # The block with the late entry stands in the manifest as it was; the anti-join finds that it changed.
+    assert sizes == [{("a", 0): 4, ("a", 1): 2}, {("a", 0): 3, ("a", 1): 2}]
