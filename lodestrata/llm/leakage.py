@@ -63,6 +63,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end in the text of each of its :func:`words`."""
+    low = text.lower()
+    if "\\" in low:
+        low = _ESCAPE.sub(lambda m: " " * len(m.group()), low)
+    found = [m.span() for m in _WORD.finditer(low)]
+    if len(low) != len(text):
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        found = [(origin[a], origin[b - 1] + 1) for a, b in found]
+    return found
+
+
 def template(word: str) -> str:
     """The word, or the placeholder of its type."""
     if word in NUMBERS or word.isdigit():
@@ -210,6 +222,43 @@ class ItemIndex:
                 best = "reparameterised"
         return best
 
+    def stretches(self, k: int, found: list[str], ids: np.ndarray, regions: list[tuple[int, int]]):
+        """The words (from, to) of a document that are item k: its passages, and the whole item however altered."""
+        item = self.words[k]
+        edits = int(len(item) * self.altered)
+        number: dict[str, int] = {}
+        exact = np.array([number.setdefault(w, len(number)) for w in item])
+        for a, b in regions:
+            for i in range(a, b - self.run + 1):
+                if k in self.runs.get(tuple(found[i : i + self.run]), ()):
+                    yield i, i + self.run
+            there = np.array([number.get(w, -1) for w in found[a:b]], np.int64)
+            for low, high in occurrences(exact, there, edits):
+                yield a + low, a + high
+            for low, high in occurrences(self.templates[k], ids[a:b], edits):
+                if consistent_slots(item, found[a + low : a + high], self.templates[k], self):
+                    yield a + low, a + high
+
+    def without(self, text: str | None) -> str | None:
+        """The text with a blank for each stretch that is an item; the same words elsewhere stay."""
+        found = words(text)
+        ids = self.numbers_of(found)
+        if np.count_nonzero(ids) < self.least:
+            return text
+        gone = sorted(
+            part for k, (where, inner) in self.candidates(ids).items()
+            for part in self.stretches(k, found, ids, list(self.regions(k, where, inner, len(found))))
+        )
+        if not gone:
+            return text
+        spans, kept, at = word_spans(text), [], 0
+        for low, high in gone:
+            start, end = spans[low][0], spans[high - 1][1]
+            if end > at:
+                kept.append(text[at : max(at, start)])
+                at = end
+        return " ".join([*kept, text[at:]])
+
     def search(self, text: str | None) -> list[tuple]:
         """(item id, kind) of every item found in a document."""
         found = words(text)
@@ -237,6 +286,31 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def edits_by_end(item: np.ndarray, text: np.ndarray, anywhere: bool = True) -> np.ndarray:
+    """The least edits of the item ending after each word of the text, from anywhere or from its first word."""
+    steps = np.arange(len(item) + 1)
+    column, out = steps.copy(), np.empty(len(text), np.int64)
+    for end, word in enumerate(text):
+        change = np.minimum(column[:-1] + (item != word), column[1:] + 1)
+        column = np.minimum.accumulate(np.concatenate(([0 if anywhere else end + 1], change)) - steps) + steps
+        out[end] = column[-1]
+    return out
+
+
+def occurrences(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, int]]:
+    """The stretches (from, to) of the text that are the item with at most so many edits, best first, apart from each other."""
+    by_end = edits_by_end(item, text)
+    out: list[tuple[int, int]] = []
+    for end in sorted(np.nonzero(by_end <= edits)[0].tolist(), key=lambda e: (by_end[e], e)):
+        if any(low <= end < high for low, high in out):
+            continue
+        back = text[max(0, end + 1 - len(item) - edits) : end + 1][::-1]
+        low = end - int(np.argmin(edits_by_end(item[::-1], back, False)))
+        if not any(low < h and l <= end for l, h in out):
+            out.append((low, end + 1))
+    return out
+
+
 def consistent_slots(item: list[str], part: list[str], item_template: np.ndarray, index: ItemIndex) -> bool:
     """Whether each slot value of the item meets one value only, in order of the slots."""
     theirs = [w for w in part if template(w) != w]

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.leakage import ItemIndex
 from lodestrata.session import cut_lineage, share, ship
 
 SLOTS = 1 << 18
@@ -38,6 +39,8 @@ LABELLED = 20_000
 ALPHA, PRIOR = 0.05, 0.5
 #: Evidence that a word needs to count for a subject as much as for the background.
 BACKGROUND = 4.0
+#: What of a foreign text is left out: so many words in a row, or the whole with such a share altered.
+RUN, ALTERED = 10, 0.25
 
 _PART = re.compile(r"[A-Z]{3,}(?![a-z])|[A-Z]?[a-z]{2,}[a-z]*")
 
@@ -45,13 +48,8 @@ _PART = re.compile(r"[A-Z]{3,}(?![a-z])|[A-Z]?[a-z]{2,}[a-z]*")
 class _Slots(dict):
     """Slot of each word part, remembered; -1 for parts that do not count."""
 
-    def __init__(self, left_out=None):
-        self.left_out = left_out
-
     def __missing__(self, part):
         slot = zlib.crc32(part.lower().encode()) & (SLOTS - 1) if len(part) > 2 else -1
-        if self.left_out is not None and self.left_out[slot]:
-            slot = -1
         self[part] = slot
         return slot
 
@@ -64,20 +62,18 @@ def slot_counts(text, slots) -> tuple[np.ndarray, np.ndarray]:
     return ids[at:], np.log1p(n[at:]).astype(np.float32)
 
 
-def features(documents: DataFrame, foreign: list[int] | None = None) -> DataFrame:
+def features(documents: DataFrame, foreign: list[str] | None = None) -> DataFrame:
     """doc_id, slots array<int>, counts array<float> (damped, so that boilerplate does not outweigh).
 
-    Slots in ``foreign`` are left out.
+    Stretches that are a text of ``foreign`` (see :mod:`lodestrata.llm.leakage`) are left out; their words count elsewhere.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    shared = share(documents.sparkSession, np.array(foreign or [], np.int32))
+    shared = share(documents.sparkSession, ItemIndex(list(enumerate(foreign or [])), RUN, ALTERED))
 
     def count(batches):
-        out = np.zeros(SLOTS, bool)
-        out[pickle.loads(shared.value)] = True
-        slots = _Slots(out)
+        items, slots = pickle.loads(shared.value), _Slots()
         for batch in batches:
-            found = [slot_counts(t, slots) for t in batch["text"]]
+            found = [slot_counts(items.without(t) if items.ids else t, slots) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": [s for s, _ in found], "counts": [c for _, c in found]})
 
     return documents.select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, slots array<int>, counts array<float>")
@@ -270,10 +266,9 @@ def posteriors(vectors: DataFrame, model: Model, least: float = 0.5, most: int =
     return vectors.mapInPandas(judge, f"doc_id {kind}, subject string, posterior double")
 
 
-def word_slots(texts: DataFrame, column: str) -> list[int]:
-    """The slots of all words of some texts, ``SLOTS`` at most."""
-    vectors = features(texts.select(F.lit(0).alias("doc_id"), F.col(column).alias("text")))
-    return [r[0] for r in vectors.select(F.explode("slots")).distinct().collect()]
+def foreign_texts(texts: DataFrame) -> list[str]:
+    """The distinct item texts."""
+    return [r[0] for r in texts.where(F.col("item_text").isNotNull()).select("item_text").distinct().collect()]
 
 
 def subject_areas(
@@ -281,13 +276,13 @@ def subject_areas(
 ) -> DataFrame:
     """doc_id, subject, posterior for every subject each document is about.
 
-    ``foreign`` (item_text): texts like test items that may have leaked into documents; their words
-    are not taken for the documents' own.
+    ``foreign`` (item_text): texts like test items that may have leaked into documents; the stretches
+    where they did are not taken for the documents' own.
     """
     names = [r[0] for r in areas.where(F.col("subject").isNotNull()).select("subject").distinct().orderBy("subject").limit(1001).collect()]
     if len(names) > 1000:
         raise ValueError("more than 1000 subjects")
-    vectors = cut_lineage(features(documents, word_slots(foreign, "item_text") if foreign is not None else None))
+    vectors = cut_lineage(features(documents, foreign_texts(foreign) if foreign is not None else None))
     model = train(vectors, labels, names, passes)
     if model is None:
         return vectors.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("posterior")).limit(0)
