@@ -2,7 +2,6 @@
 
 import pytest
 
-from lodestrata.llm import leakage, subjects
 from lodestrata.operators import exactly_once, incremental
 from lodestrata.queries import data_problems, engine_queries
 
@@ -24,14 +23,6 @@ def test_no_row_is_cut(spark, name):
     assert sorted(repr(tuple(r)) for r in got.collect()) == want and len(want) > 900
 
 
-def test_passages_from_the_end_of_a_very_long_item():
-    item = [f"w{i}x" for i in range(70_000)]
-    index = leakage.ItemIndex([(1, " ".join(item))], 10, 0.25)
-    for at in (0, 65_530, 65_540, len(item) - 10):
-        assert index.search("int x; // " + " ".join(item[at : at + 10])) == [(1, "passage")], at
-    assert not index.search(" ".join(item[-9:]))
-
-
 def test_p7_found_comes_from_ranges_carried_over_batches(spark, sf_dir, monkeypatch):
     merged = []
 
@@ -69,21 +60,3 @@ def test_the_manifest_holds_what_a_run_could_see(spark, monkeypatch):
     sizes = [{(r.consumer, r.unit): r["size"] for r in rows.collect()} for rows in taken]
     # The block with the late entry stands in the manifest as it was; the anti-join finds that it changed.
     assert sizes == [{("a", 0): 4, ("a", 1): 2}, {("a", 0): 3, ("a", 1): 2}]
-
-
-def test_words_of_items_count_outside_leaked_stretches(spark):
-    item = "Dough in the oven will rise if yeast and whisk were used before the court met its judge at noon"
-    index = leakage.ItemIndex([(1, item)], 10, 0.25)
-    own = "oven_dough(yeast, whisk); İ "
-    assert index.without(own) == own and index.without(None) is None
-    for leaked in (item, item.upper().replace(" ", "\\n * "), item.replace("oven", "pan").replace("rise", "fall")):
-        kept = index.without(own + leaked + ". " + own + leaked + " " + own)
-        assert leakage.words(kept) == leakage.words(own) * 3, kept
-    passage = " ".join(item.split()[3:14])
-    assert leakage.words(index.without(f"yeast {passage} plea")) == ["yeast", "plea"]
-    rows = [(i, "dough oven whisk yeast" if i % 2 == 0 else "court judge plea verdict") for i in range(40)] + [(50, "oven_dough whisk yeast"), (51, "plea verdict court // " + item)]
-    documents = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, "cook" if i % 2 == 0 else "law") for i in range(12)], "doc_id long, subject string")
-    areas = spark.createDataFrame([("cook",), ("law",)], "subject string")
-    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(documents, labels, areas, foreign=spark.createDataFrame([(item,)], "item_text string")).collect()}
-    assert got == {(i, "cook" if i % 2 == 0 else "law") for i in range(40)} | {(50, "cook"), (51, "law")}
