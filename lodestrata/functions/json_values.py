@@ -37,17 +37,63 @@ def is_valid_json(text: Column) -> Column:
     return F.coalesce(F.size(parsed) == 1, F.lit(False))
 
 
+#: A JSON number outside of strings, with all that stands between it and the number before.
+_NUMBER_AT = (
+    r'\G((?:[^"0-9-]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)(?=\s*+(?:[,}\]]|$))'
+)
+
+
+def _member(name: str, kind: str) -> str:
+    return f"struct<`{name.replace('`', '``')}`:{kind}>"
+
+
 def comparable(text: Column, path: str) -> Column:
     """Comparable text at a dotted path: JSON null reads as ``null``, a missing path as NULL.
 
-    An empty path compares the whole value text unparsed.
+    Strings are decoded, numbers keep the spelling they are written in (they are read as texts), the
+    last of duplicate members counts. Objects and arrays read in compact spelling here; where their
+    own spelling matters, :func:`equals_text` and :func:`exact_comparable` read it. NULL for
+    broken JSON. An empty path compares the whole value text unparsed.
     """
     if not path:
         return text
-    at = "$." + path
-    is_null = F.is_variant_null(F.try_variant_get(F.try_parse_json(text), at, "variant"))
-    found = F.get_json_object(text, at)
-    return F.when(found.isNotNull(), found).when(is_null, F.lit("null"))
+    *above, last = path.split(".")
+    leaf, members = _member(last, "string"), "map<string,string>"
+    for name in reversed(above):
+        leaf, members = _member(name, leaf), _member(name, members)
+    spelled = F.concat(F.lit("["), F.regexp_replace(text, _NUMBER_AT, '$1"$2"'), F.lit("]"))
+
+    def inside(rows: Column, names: list[str]) -> Column:
+        found = F.when(F.size(rows) == 1, F.get(rows, F.lit(0)))
+        for name in names:
+            found = found.getField(name)
+        return found
+
+    value = F.transform(F.array(F.from_json(spelled, f"array<{leaf}>", STRICT)), lambda w: inside(w, [*above, last]))[0]
+    # A member that is null and one that is absent look alike above; only texts with a null are looked at again.
+    parents = F.when(text.contains("null"), F.from_json(spelled, f"array<{members}>", STRICT))
+
+    def named_null(w: Column) -> Column:
+        held = F.filter(F.map_entries(inside(w, above)), lambda e: e["key"] == last)
+        return F.when(F.try_element_at(held, F.lit(-1))["value"].isNull() & (F.size(held) > 0), "null")
+
+    return F.coalesce(value, F.transform(F.array(parents), named_null)[0])
+
+
+def equals_text(text: Column, path: str, literal: str) -> Column:
+    """Whether the comparable text at a path is a literal; objects and arrays by their own spelling."""
+    if path and literal[:1] in ("{", "["):
+        return strict_comparable(text, F.lit(path)) == literal
+    return comparable(text, path) == literal
+
+
+def exact_comparable(text: Column, path: str) -> Column:
+    """:func:`comparable` with objects and arrays in their own spelling, for what is written once and read often."""
+    found = comparable(text, path)
+    if not path:
+        return found
+    nested = found.startswith("{") | found.startswith("[")
+    return F.when(nested, strict_comparable(F.when(nested, text), F.lit(path))).otherwise(found)
 
 
 class _Number(str):
@@ -232,33 +278,50 @@ def plain_leaves(texts: pd.Series) -> pd.Series:
     return texts.map(_plain_leaves)
 
 
-@F.pandas_udf(_TEXT)
-def strict_comparable(texts: pd.Series, paths: pd.Series) -> pd.Series:
-    """Comparable text that keeps raw number spelling and the last of duplicate members.
+def _skip(text: str, at: int) -> int:
+    while at < len(text) and text[at] in " \t\n\r":
+        at += 1
+    return at
 
-    Objects and arrays at the path are spelled canonically. NULL for a missing path or broken JSON.
-    """
 
-    def one(text, path):
-        if text is None:
-            return None
-        if not path:
-            return text
-        try:
-            value = load_json(text)
-        except ValueError:
+def raw_member(text: str, name: str) -> str | None:
+    """The raw text of the last member of a name in the text of a (valid) JSON object."""
+    decode, at, found = json.JSONDecoder(parse_constant=_refuse).raw_decode, _skip(text, 0) + 1, None
+    while text[at := _skip(text, at)] != "}":
+        key, at = decode(text, at)
+        start = _skip(text, _skip(text, at) + 1)
+        _, end = decode(text, start)
+        found = text[start:end] if key == name else found
+        at = _skip(text, end)
+        at += text[at] == ","
+    return found
+
+
+def raw_comparable(text: str | None, path: str) -> str | None:
+    """What :func:`strict_comparable` gives for one text."""
+    if text is None or not path:
+        return text
+    try:
+        value = load_json(text)
+    except ValueError:
+        return None
+    raw = text
+    for name in path.split("."):
+        if not isinstance(value, dict) or name not in value:
             return None
-        for name in path.split("."):
-            if not isinstance(value, dict) or name not in value:
-                return None
-            value = value[name]
-        if value is None:
-            return "null"
-        if isinstance(value, bool):
-            return str(value).lower()
-        return printable(str(value)) if isinstance(value, str) else canonical(value)
-
-    return pd.Series([one(t, p) for t, p in zip(texts, paths)], dtype=object)
+        value = value[name]
+        raw = raw_member(raw, name)
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return printable(str(value) if isinstance(value, str) else raw)
+
+
+@F.pandas_udf(_TEXT)
+def strict_comparable(texts: pd.Series, paths: pd.Series) -> pd.Series:
+    """Comparable text with objects and arrays as they are written. NULL for a missing path or broken JSON."""
+    return pd.Series([raw_comparable(t, p) for t, p in zip(texts, paths)], dtype=object)
 
 
 ship(__name__)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.json_values import comparable
@@ -45,31 +46,35 @@ def field_alias(path: str) -> str:
     return ".".join(p for i, p in enumerate(path.split(".")) if p and not (i == 0 and p.lower() == "value")).lower()
 
 
-def field_texts(state: DataFrame, fields: list[str]) -> DataFrame:
-    """doc_key, field, text of every indexed field; an empty path takes the whole value text."""
+def field_texts(state: DataFrame, fields: list[str], keep: list[str] | None = None) -> DataFrame:
+    """doc_key, field, text (and ``keep``) of every indexed field; an empty path takes the whole value text."""
     paths = {field_alias(f): ".".join(p for i, p in enumerate(f.split(".")) if not (i == 0 and p.lower() == "value")) for f in fields}
     texts = F.array(*[F.struct(F.lit(alias).alias("field"), comparable(F.col("row_value"), path).alias("text")) for alias, path in paths.items()])
-    return state.select(F.col("row_key").alias("doc_key"), F.inline(texts)).where(F.col("text").isNotNull())
+    return state.select(F.col("row_key").alias("doc_key"), *(keep or []), F.inline(texts)).where(F.col("text").isNotNull())
 
 
-def postings(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """field, term, doc_key, tf, positions, len of ``texts`` (doc_key, field, text).
+#: The words of a text sorted with their positions, where each term begins, and the term with its positions.
+_GROUPED = """
+    transform(array(array_sort(transform(words, (w, i) -> named_struct('w', w, 'i', i)))), s ->
+      transform(array(filter(transform(s, (x, k) -> if(k = 0 OR s[k - 1].w <> x.w, k, null)), k -> k IS NOT NULL)), b ->
+        transform(b, (k, n) -> named_struct('term', s[k].w, 'positions',
+          transform(slice(s, k + 1, coalesce(get(b, n + 1), size(s)) - k), x -> x.i))))[0])[0]"""
 
-    With ``only`` the postings of those few terms are made within each text, without a shuffle;
-    ``texts`` then has one row per document and field.
+
+def postings(texts: DataFrame, only: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """field, term, doc_key, tf, positions, len (and ``keep``) of ``texts`` (doc_key, field, text).
+
+    ``texts`` has one row per document and field, so all postings of a document are made in its own
+    row and nothing is shuffled. With ``only`` those of a few terms are made.
     """
-    words = texts.select("doc_key", "field", terms(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    keep = keep or []
+    words = texts.select("doc_key", "field", *keep, terms(F.col("text")).alias("words")).withColumn("len", F.size("words"))
     if only is not None:
         held = [f"named_struct('term', {_quoted(t)}, 'positions', filter(transform(words, (w, i) -> if(w = {_quoted(t)}, i, null)), i -> i IS NOT NULL))" for t in only]
-        found = words.select("doc_key", "field", "len", F.expr(f"inline(filter(array({', '.join(held)}), p -> size(p.positions) > 0))"))
-        return found.select("field", "term", "doc_key", F.size("positions").alias("tf"), "positions", "len")
-    placed = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    return (
-        words.select("doc_key", "field", "len", F.inline(placed))
-        .groupBy("field", "term", "doc_key", "len")
-        .agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        .select("field", "term", "doc_key", "tf", "positions", "len")
-    )
+        found = words.select("doc_key", "field", *keep, "len", F.expr(f"inline(filter(array({', '.join(held)}), p -> size(p.positions) > 0))"))
+    else:
+        found = words.select("doc_key", "field", *keep, "len", F.expr(f"inline({_GROUPED})"))
+    return found.select("field", "term", "doc_key", *keep, F.size("positions").alias("tf"), "positions", "len")
 
 
 def _quoted(text: str) -> str:
@@ -82,9 +87,9 @@ def write_postings(found: DataFrame, target: str) -> None:
     sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(target)
 
 
-def idf(total: float):
-    """Column over df."""
-    return F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def idf(total: float, df: str):
+    """Column over the number of documents that match a clause."""
+    return F.log(1 + (total - F.col(df) + 0.5) / (F.col(df) + 0.5))
 
 
 def weight(average_length: float = AVERAGE_LENGTH):
@@ -101,40 +106,55 @@ def matches(found: DataFrame, clauses: list[Clause]) -> DataFrame:
     return hit.where((F.col("term") == F.col("want")) & F.coalesce(F.col("field") == F.col("bound"), F.lit(True))).drop("want", "bound")
 
 
-def phrase_documents(hit: DataFrame, numbers: list[int]) -> DataFrame:
-    """doc_key of documents with the clauses ``numbers`` at consecutive positions of one field."""
-    offset = F.create_map(*[x for k, i in enumerate(numbers) for x in (F.lit(i), F.lit(k))])
-    starts = hit.where(F.col("clause").isin(numbers)).select("doc_key", "field", "clause", F.explode("positions").alias("pos"))
-    starts = starts.select("doc_key", "field", "clause", (F.col("pos") - offset[F.col("clause")]).alias("start"))
-    whole = starts.groupBy("doc_key", "field", "start").agg(F.count_distinct("clause").alias("n"))
-    return whole.where(F.col("n") == len(numbers)).select("doc_key").distinct()
+def has_phrase(numbers: list[int]) -> Column:
+    """Whether ``held`` (array of field, clause, positions) has the clauses at consecutive positions of one field."""
+
+    def of(clause: int, field: Column) -> Column:
+        mine = F.filter("held", lambda h: (h["clause"] == clause) & (h["field"] == field))
+        return F.coalesce(F.get(mine, F.lit(0))["positions"], F.array().cast("array<int>"))
+
+    def whole(field: Column) -> Column:
+        def follows(at: Column) -> Column:
+            return reduce(lambda a, b: a & b, [F.array_contains(of(i, field), at + k) for k, i in enumerate(numbers)])
+
+        return F.exists(of(numbers[0], field), follows)
+
+    return F.exists(F.array_distinct(F.transform("held", lambda h: h["field"])), whole)
 
 
 def rank(found: DataFrame, query: str, total: int, operator: str = "or", average_length: float = AVERAGE_LENGTH) -> DataFrame:
-    """doc_key, score of every match; empty for a query without terms."""
+    """doc_key, score of every match; empty for a query without terms.
+
+    The postings of the query's terms meet once per document (a few per clause and field); the best
+    field, phrases and the score come from that one row. Only the number of documents per clause is
+    counted beside it, from the same shuffled rows.
+    """
     clauses = parse_query(query)
     if not clauses:
         return found.select("doc_key", F.lit(0.0).alias("score")).limit(0)
+    phrases = [[i for i, c in enumerate(clauses) if c.phrase == p] for p in sorted({c.phrase for c in clauses if c.phrase is not None})]
     hit = matches(found, clauses)
-    # The inverse document frequency is one positive factor per clause, so the best field is known
-    # without it, and both sums below read the same shuffled rows.
-    best = hit.groupBy("doc_key", "clause").agg(F.max(weight(average_length)).alias("w"))
-    frequency = best.groupBy("clause").agg(F.count("w").alias("df"))
-    scored = best.join(F.broadcast(frequency), "clause")  # one row per clause of the query
-    out = scored.groupBy("doc_key").agg(F.sum(F.col("w") * idf(float(max(1, total)))).alias("score"), F.count("*").alias("n"))
+    columns = [F.max(F.when(F.col("clause") == i, weight(average_length))).alias(f"w{i}") for i in range(len(clauses))]
+    if phrases:
+        columns.append(F.collect_list(F.when(F.col("clause").isin(sorted(sum(phrases, []))), F.struct("field", "clause", "positions"))).alias("held"))
+    docs = hit.groupBy("doc_key").agg(*columns)
+    # The inverse document frequency is one positive factor per clause, so the best field is known without it.
+    frequency = docs.agg(*[F.count(f"w{i}").alias(f"df{i}") for i in range(len(clauses))])
+    one = F.lit(1).alias("one")
+    scored = docs.select("*", one).join(F.broadcast(frequency.select("*", one)), "one")  # one row of counts
+    parts = [F.coalesce(F.col(f"w{i}") * idf(float(max(1, total)), f"df{i}"), F.lit(0.0)) for i in range(len(clauses))]
+    for numbers in phrases:
+        scored = scored.where(has_phrase(numbers))
     if operator.lower() == "and":
-        out = out.where(F.col("n") == len(clauses))
-    for phrase in sorted({c.phrase for c in clauses if c.phrase is not None}):
-        numbers = [i for i, c in enumerate(clauses) if c.phrase == phrase]
-        out = out.join(phrase_documents(hit, numbers), "doc_key", "left_semi")
-    return out.select("doc_key", "score")
+        scored = scored.where(reduce(lambda a, b: a & b, [F.col(f"w{i}").isNotNull() for i in range(len(clauses))]))
+    return scored.select("doc_key", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
-def page(ranked: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page, best score first, ties by key; offsets up to 10,000 and limits up to 1,000."""
+def page(ranked: DataFrame, limit: int = 20, offset: int = 0, most_rows: int | None = 1000, most_offset: int | None = 10_000) -> DataFrame:
+    """One page, best score first, ties by key; offsets and limits are free if their bounds are None."""
     best = ranked.orderBy(F.desc("score"), "doc_key")
-    offset = max(0, min(offset, 10_000))
-    return (best.offset(offset) if offset else best).limit(max(1, min(limit, 1000)))
+    offset = max(0, offset if most_offset is None else min(offset, most_offset))
+    return (best.offset(offset) if offset else best).limit(max(1, limit if most_rows is None else min(limit, most_rows)))
 
 
 def document_frequencies(found: DataFrame) -> DataFrame:
@@ -146,7 +166,3 @@ def average_lengths(texts: DataFrame) -> DataFrame:
     """field, avg_len, n_docs, for ranking by the corpus average."""
     return texts.select("field", F.size(terms(F.col("text"))).alias("len")).groupBy("field").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_docs"))
 
-
-def best_per_group(ranked: DataFrame, group: str, k: int) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(F.desc("score"), "doc_key")
-    return ranked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import comparable
+from lodestrata.functions.json_values import equals_text
 from lodestrata.functions.names import EngineError, ParseError, clamp
-from lodestrata.operators import indexes, relational
+from lodestrata.operators import relational
 from lodestrata.operators.keyed_joins import join_states
 from lodestrata.operators.relational import RelationalSchema
 from lodestrata.plans import sqlfront as ast
@@ -30,7 +30,7 @@ class Tables:
     def schema(self, table: str) -> RelationalSchema | None:
         return self.schemas.get(table)
 
-    def index_for(self, table: str, path: str) -> DataFrame | None:
+    def index_for(self, table: str, path: str):
         return self.indexed.get((table, path))
 
     def sql(self, text: str, most_rows: int | None = MOST_ROWS) -> DataFrame:
@@ -44,8 +44,9 @@ class Tables:
 class Planner:
     """Plans SELECTs over a source of states.
 
-    ``source`` gives ``state(table)``, ``schema(table)``, ``views`` and ``index_for(table, path)``;
-    transactions pass one whose states carry the overlay and whose indexes are off.
+    ``source`` gives ``state(table)``, ``schema(table)``, ``views`` and ``index_for(table, path)``, whose
+    ``rows_with(value)`` are the rows of a value equality; transactions pass a source whose states
+    carry the overlay and whose indexes are off.
     """
 
     def __init__(self, source, most_rows: int | None = MOST_ROWS):
@@ -118,9 +119,16 @@ class Planner:
         return rows.select(F.col(f"`{key}`").cast("string").alias("__key"), *[F.col(f"`{c}`") for c in chosen]), ["__key"]
 
     def _filter(self, s: ast.Select, rows: DataFrame, key: str, value: str, table: str, qualified: bool = False) -> DataFrame:
-        """WHERE over key and value: at most one key equality, bound each way and value predicate."""
+        """WHERE over key and value: at most one key equality, bound each way and value predicate.
+
+        An index on the path gives the rows instead of the table; key predicates then filter these.
+        """
         seen: set[str] = set()
-        for p in s.where:
+
+        def by_value(p) -> bool:
+            return p.path[p.path[0].lower() == table and len(p.path) > 1].lower() == "value"
+
+        for p in sorted(s.where, key=by_value, reverse=True):
             path = p.path[1:] if p.path[0].lower() == table and len(p.path) > 1 else p.path
             if not isinstance(p.value.value, str):
                 raise ParseError("keys and values are compared with quoted texts")
@@ -139,9 +147,9 @@ class Planner:
                 where = ".".join(path[1:])
                 index = None if qualified else self.source.index_for(table, where)
                 if index is not None and value == "row_value":
-                    rows = indexes.select_by_index(rows, index, where, text)
+                    rows = index.rows_with(text)
                 else:
-                    rows = rows.where(comparable(F.col(value), where) == text)
+                    rows = rows.where(equals_text(F.col(value), where, text))
             else:
                 raise ParseError("WHERE takes key predicates and value equalities")
             seen.add(kind)

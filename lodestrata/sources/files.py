@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class Files:
-    """Reads, atomic creates, renames and listings below one root."""
+    """Reads, exclusive creates, renames and listings below one root.
+
+    Exclusive creation is what all commits rest on: a hard link on a local file system, elsewhere the
+    rename of a file, which HDFS refuses if the name is taken. Folders are renamed only by the writer
+    whose exclusive record names them, because a rename of a folder may not fail but nest.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
@@ -25,20 +33,25 @@ class Files:
         path = self._path(folder)
         if not self._fs.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(path))
+        return sorted(n for s in self._fs.listStatus(path) if not (n := s.getPath().getName()).startswith("_"))
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
     def create(self, name: str, text: str) -> None:
-        """Writes a new file whole; the rename fails if the name is taken, so one writer wins."""
-        staged = self._path(f"{name}.writing")
+        """Writes a new file whole; FileExistsError if the name is taken, so one writer wins."""
+        folder, _, last = name.rpartition("/")
+        staged, target = self._path(f"{folder}/_{last}.{uuid.uuid4().hex}".lstrip("/")), self._path(name)
         out = self._fs.create(staged, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(self._path(name)) or not self._fs.rename(staged, self._path(name)):
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(staged.toUri().getPath(), target.toUri().getPath())
+            elif self._fs.exists(target) or not self._fs.rename(staged, target):
+                raise FileExistsError(name)
+        finally:
             self._fs.delete(staged, False)
-            raise FileExistsError(name)
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
@@ -47,10 +60,11 @@ class Files:
         finally:
             stream.close()
 
-    def rename(self, old: str, new: str) -> None:
+    def move(self, old: str, new: str) -> None:
+        """Moves a folder to the name its record gives; done already by another is fine."""
         self._fs.mkdirs(self._path(new).getParent())
-        if not self._fs.rename(self._path(old), self._path(new)):
-            raise FileExistsError(new)
+        if not self.exists(new) and self.exists(old) and not self._fs.rename(self._path(old), self._path(new)) and not self.exists(new):
+            raise OSError(f"cannot move {old} to {new}")
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import comparable, number_text, strict_comparable
+from lodestrata.functions.json_values import comparable, equals_text, exact_comparable, number_text, strict_comparable
 from lodestrata.functions.names import EngineError, ParseError, clamp, normal_name
 from lodestrata.operators import indexes, overlay, placement, search, versions
 from lodestrata.plans import sqlfront
@@ -57,6 +57,21 @@ def test_comparable_rules(spark):
     assert [r[0] for r in df.orderBy("i").select(comparable(F.col("v"), "a.b")).collect()][:8] == ["x", "null", "1.0", "true", None, None, None, None]
     strict = [r[0] for r in df.orderBy("i").select(strict_comparable("v", F.lit("a.b"))).collect()]
     assert strict == ["x", "null", "1.0", "true", None, None, None, None, "1e3"]
+    assert [r[0] for r in df.orderBy("i").select(comparable(F.col("v"), "a.b")).collect()] == strict
+
+
+def test_comparable_text_is_as_written(spark):
+    data = {
+        '{"n": 1.50}': "1.50", '{"n":1e2}': "1e2", '{"n": -0}': "-0", '{"n": 12345678901234567890.10 }': "12345678901234567890.10", '{"n": 1, "n": 2}': "2",
+        '{"n": 1, "n": null}': "null", '{"n": {"a":  [1.0, "x"]}}': '{"a":  [1.0, "x"]}', '{"n": [ 1 ]}': "[ 1 ]", '{"n": "{ }"}': "{ }", '{"n": "5: 6, 7"}': "5: 6, 7",
+        '{"n": 1.2.3}': None, '{"n": 01}': None, '{"n": 1} x': None, "{'n': 1}": None, '{"n": NaN}': None, '{"N": 1}': None, '{"n": "' + "y " * 50_000 + '"}': "y " * 50_000,
+        '{"m": "\\\\", "n": 3}': "3", '{"m": "\\" 4, ", "n": true}': "true", '{"n": ""}': "",
+    }
+    df = spark.createDataFrame(list(data.items()), "v string, want string")
+    for read in (exact_comparable(F.col("v"), "n"), strict_comparable("v", F.lit("n"))):
+        assert [(r.v[:60], r.got) for r in df.select("v", "want", read.alias("got")).where("NOT (got <=> want)").collect()] == []
+    for literal, n in (("1.50", 1), ("1.5", 0), ('{"a":  [1.0, "x"]}', 1), ('{"a":[1.0,"x"]}', 0), ("{ }", 1)):
+        assert df.where(equals_text(F.col("v"), "n", literal)).count() == n, literal
     assert len({number_text(n) for n in ("1", "1.0", "1e0", "10e-1", "0.1e1")}) == 1 and number_text("-0.0") == number_text("0") and number_text("-1") != number_text("1")
 
 
@@ -64,14 +79,14 @@ def test_index_equals_scan(spark):
     rows = spark.createDataFrame([("1", '{"t":"a"}'), ("2", '{"t":null}'), ("3", "{}"), ("4", '{"t":"a"}')], "row_key string, row_value string")
     index = indexes.build_index(rows, "t")
     for value in ("a", "null", "zz"):
-        by_index = {r[0] for r in indexes.select_by_index(rows, index, "t", value).select("row_key").collect()}
+        by_index = {r[0] for r in indexes.lookup([index], value).select("row_key").collect()}
         assert by_index == {r[0] for r in rows.where(comparable(F.col("row_value"), "t") == value).select("row_key").collect()}
 
 
 def test_index_and_postings_are_written_sorted(spark, tmp_path):
     rows = spark.createDataFrame([("1", '{"t":"b a"}'), ("2", '{"t":"a"}')], "row_key string, row_value string")
-    indexes.write_index(rows, "t", str(tmp_path / "i"))
-    assert {r[0] for r in indexes.lookup(spark.read.parquet(str(tmp_path / "i")), "a").collect()} == {"2"}
+    indexes.write_index(indexes.build_index(rows, "t"), str(tmp_path / "i"))
+    assert {r[0] for r in indexes.lookup([spark.read.parquet(str(tmp_path / "i"))], "a").collect()} == {"2"}
     search.write_postings(search.postings(search.field_texts(rows, ["value.t"])), str(tmp_path / "p"))
     assert [r[0] for r in search.rank(spark.read.parquet(str(tmp_path / "p")), "a b", 2, "and").collect()] == ["1"]
 
