@@ -4,62 +4,85 @@ The listing of input units (files, or blocks of a log) carries a size and a chec
 (name, size, checksum) stand in the manifest are done; the anti-join of the listing against the
 manifest is what a run has to process. Output is written under the batch identifier (a repeated
 run overwrites its own output) and the manifest entry is committed last, so a failure anywhere
-before it leaves nothing skipped and nothing counted twice.
+before it leaves nothing skipped and nothing counted twice: :func:`committed_output` reads the
+output of committed batches only. Commits are numbered records that one run only can create; a
+run whose plan was made before another's commit is refused and plans anew.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.sources.files import Files
+
 UNIT = "unit string, size bigint, checksum bigint"
+#: Files up to so many bytes are hashed as a whole, larger ones line by line by many tasks.
+WHOLE = 1 << 28
 
 
 class Manifest:
-    """Committed units of one consumer as small Parquet parts, one per batch identifier."""
+    """Committed units of one consumer: a numbered record per batch, the units as Parquet beside it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.files = spark, path, Files(spark, path)
+
+    def version(self) -> int:
+        """The number of the last commit."""
+        return max((int(n.split(".")[0]) for n in self.files.names("committed")), default=0)
 
-    def _fs(self, path: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+    def _records(self, upto: int | None = None) -> list[dict]:
+        names = [n for n in self.files.names("committed") if upto is None or int(n.split(".")[0]) <= upto]
+        return [json.loads(self.files.read(f"committed/{n}")) for n in names]
 
-    def read(self) -> DataFrame:
-        """unit, size, checksum, batch_id of all committed batches."""
-        fs, at = self._fs(f"{self.path}/committed")
+    def read(self, upto: int | None = None) -> DataFrame:
+        """unit, size, checksum, batch_id of all batches committed (up to a version)."""
         schema = T._parse_datatype_string(UNIT + ", batch_id string")
-        if not fs.exists(at) or not fs.listStatus(at):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/committed/*")
+        paths = [self.files.at(r["units"]) for r in self._records(upto)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def batches(self) -> list[str]:
+        """The identifiers of committed batches."""
+        return [r["batch_id"] for r in self._records()]
 
     def is_committed(self, batch_id: str) -> bool:
-        fs, at = self._fs(f"{self.path}/committed/{batch_id}")
-        return fs.exists(at)
-
-    def commit(self, batch_id: str, units: DataFrame) -> None:
-        """Write the units aside, then rename: the rename is the commit."""
-        staged = f"{self.path}/staged/{batch_id}"
-        units.select("unit", "size", "checksum", F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(staged)
-        fs, source = self._fs(staged)
-        _, folder = self._fs(f"{self.path}/committed")
-        _, target = self._fs(f"{self.path}/committed/{batch_id}")
-        fs.mkdirs(folder)
-        if not fs.rename(source, target):
+        return batch_id in self.batches()
+
+    def commit(self, batch_id: str, units: DataFrame, after: int) -> None:
+        """Writes the units aside, then creates the record with the next number: that is the commit."""
+        if self.is_committed(batch_id):
             raise RuntimeError(f"batch {batch_id} is committed already")
+        folder = f"units/{batch_id}-{uuid.uuid4().hex}"
+        units.select("unit", "size", "checksum", F.lit(batch_id).alias("batch_id")).write.parquet(self.files.at(folder))
+        try:
+            self.files.create(f"committed/{after + 1:012d}.json", json.dumps({"batch_id": batch_id, "units": folder}))
+        except FileExistsError:
+            self.files.delete(folder)
+            raise RuntimeError(f"another batch was committed since {batch_id} was planned; run it again") from None
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def list_files(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
     """The listing of a folder: unit (path), size and checksum of every file, read by executors.
 
-    The checksum is over the whole content, so a file rewritten with the same size is found. Empty files hold nothing to process and are not listed.
+    The checksum is over the whole content, so a file rewritten with the same size is found. Files
+    above ``whole`` bytes are hashed by lines (with their number and sum), which any number of tasks
+    share. Empty files hold nothing to process and are not listed.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("unit"), F.col("length").alias("size"), F.xxhash64("content").alias("checksum"))
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    small = files.where(F.col("length") <= whole).select(F.col("path").alias("unit"), F.col("length").alias("size"), F.xxhash64("content").alias("checksum"))
+    large = files.select("path", "length").where(F.col("length") > whole)
+    if large.isEmpty():
+        return small
+    paths = [r.path for r in large.select("path").collect()]  # names only, of files above the bound
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("unit"), F.col("_metadata.file_size").alias("size"), "value")
+    summed = lines.groupBy("unit", "size").agg(F.xxhash64(F.count("*"), F.sum(F.xxhash64("value").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("value"))).alias("checksum"))
+    return small.unionByName(summed)
 
 
 def pending_units(listing: DataFrame, manifest: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -79,14 +102,21 @@ def run_batch(
     """
     if manifest.is_committed(batch_id):
         return False
+    after = manifest.version()
     fixed = f"{manifest.path}/planned/{batch_id}"
-    pending_units(listing, manifest.read()).write.mode("overwrite").parquet(fixed)
-    units = spark.read.parquet(fixed)
+    pending_units(listing, manifest.read(after)).write.mode("overwrite").parquet(fixed)
+    units = spark.read.schema(UNIT).parquet(fixed)
     process(units).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-    manifest.commit(batch_id, units)
+    manifest.commit(batch_id, units, after)
     return True
 
 
+def committed_output(spark: SparkSession, manifest: Manifest, output: str) -> DataFrame | None:
+    """The output of committed batches, with ``batch_id``; None before the first commit."""
+    paths = [f"{output}/batch_id={b}" for b in manifest.batches()]
+    return spark.read.option("basePath", output).parquet(*paths) if paths else None
+
+
 def unprocessed_entries(entries: DataFrame, runs: DataFrame, block: int = 8192) -> DataFrame:
     """Entries of a log that none of a consumer's successful runs has processed.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,30 +58,30 @@ def ring_start(table: Column, nodes: int) -> Column:
 
 
 def plan_ownership(tables: DataFrame, nodes: list[str], factor: int) -> DataFrame:
-    """table_name, leader and members; the same for any order of the inputs.
+    """table_name, term, leader and members; the same for any order of the inputs.
 
-    ``tables`` may carry ``current_leader``; a current leader that is among the nodes is kept.
+    Members follow the ring from where the table starts. ``tables`` may carry ``current_leader`` and
+    ``current_term``: a leader that is among the planned members stays and so does its term, any
+    other gives way to the first member in the next term. Table names ignore case, repeated ones
+    count once (by the highest term); blank node names are no nodes.
     """
-    ring = sorted(set(nodes))
+    ring = sorted({n for n in nodes if n and n.strip()})
     if not ring:
         raise EngineError("no nodes", 503)
     count = min(max(1, factor), len(ring))
     ringed = F.array(*map(F.lit, ring * 2))
-    members = F.slice(ringed, ring_start(F.col("table_name"), len(ring)) + 1, F.lit(count))
-    out = tables.withColumn("planned", members)
-    kept = F.col("current_leader") if "current_leader" in tables.columns else F.lit(None).cast("string")
-    leader = F.when(kept.isin(ring), kept).otherwise(F.col("planned")[0])
-    return out.select(
-        "table_name", leader.alias("leader"),
-        F.slice(F.array_distinct(F.concat(F.array(leader), F.col("planned"))), 1, count).alias("members"),
+    leader = F.col("current_leader") if "current_leader" in tables.columns else F.lit(None).cast("string")
+    term = F.col("current_term") if "current_term" in tables.columns else F.lit(None).cast("bigint")
+    known = tables.groupBy(F.lower("table_name").alias("table_name")).agg(F.max(F.struct(term.alias("term"), leader.alias("leader"))).alias("old"))
+    planned = known.withColumn("members", F.slice(ringed, ring_start(F.col("table_name"), len(ring)) + 1, F.lit(count)))
+    stays = F.coalesce(F.array_contains("members", F.col("old.leader")), F.lit(False))
+    moved = F.when(F.col("old.leader").isNotNull() & ~stays, 1).otherwise(0)
+    return planned.select(
+        "table_name", F.coalesce(F.col("old.term") + moved, F.lit(1)).cast("bigint").alias("term"),
+        F.when(stays, F.col("old.leader")).otherwise(F.col("members")[0]).alias("leader"), "members",
     )
 
 
-def ring_start_of(table: str, nodes: int) -> int:
-    """The same on the driver."""
-    return int.from_bytes(hashlib.sha256(table.encode()).digest()[:2], "little") % nodes
-
-
 def nearest_rank(samples: DataFrame, value: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
     """Percentiles by nearest rank, the value at sorted index ceil(n * f) - 1, per group: fraction, value.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.json_values import load_json, type_name
+from lodestrata.functions.json_values import STRICT, is_valid_json, load_json, type_name
 from lodestrata.functions.names import EngineError
 
 #: DDL type words and the types they mean.
@@ -140,41 +140,73 @@ def canonical_value(schema: RelationalSchema, record: dict) -> str:
     return json.dumps({names[k.lower()]: v for k, v in record.items()}, ensure_ascii=False)
 
 
+def declared_value(schema: RelationalSchema, value: str) -> str:
+    """A valid row's text, rewritten only if a property is spelled otherwise than declared."""
+    record = json.loads(value)
+    names = {c.name for c in schema.columns}
+    return value if names >= set(record) else canonical_value(schema, record)
+
+
+def _properties(schema: RelationalSchema) -> Column:
+    """array<struct<key,value>> of the members of ``row_value``, named in lower case, values as variants; NULL if it is no object."""
+    parsed = F.from_json(F.concat(F.lit("["), F.col("row_value"), F.lit("]")), "array<map<string,variant>>", STRICT)
+    entries = F.map_entries(F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0))))
+    return F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), e["key"].alias("spelled")))
+
+
 def validate_rows(rows: DataFrame, schema: RelationalSchema) -> DataFrame:
     """``rows`` (row_key, row_value) with ``problem``: the class of the first broken rule, or NULL.
 
-    All in built-in expressions over variants: bad_key, bad_json, not_an_object, repeated_key,
-    unknown_property, null_value, wrong_type.
+    The rules of :func:`row_problem` in built-in expressions over variants: bad_key, bad_json,
+    not_an_object, repeated_key, unknown_property, null_value, wrong_type. Names ignore case, of
+    members that repeat the last counts.
     """
-    v = F.try_parse_json("row_value")
-    names = F.json_object_keys("row_value")
-    known = [c.name for c in schema.columns if c is not schema.key]
+    known = F.array(*[F.lit(c.name.lower()) for c in schema.columns if c is not schema.key]) if len(schema.columns) > 1 else F.array().cast("array<string>")
     key = F.col("row_key")
     kind = SPARK[schema.key.kind].simpleString()
     key_ok = F.length(F.trim(key)) > 0 if schema.key.kind == "text" else F.expr(f"try_cast(row_key AS {kind})").isNotNull()
+    held = rows.withColumn("__held", _properties(schema))
+    names = F.transform("__held", lambda e: e["key"])
+
+    def last_of(name: str) -> Column:
+        return F.try_element_at(F.filter("__held", lambda e: e["key"] == name), F.lit(-1))["value"]
+
     checks: list[tuple[str, Column]] = [
         ("bad_key", ~F.coalesce(key_ok, F.lit(False))),
-        ("bad_json", v.isNull()),
-        ("not_an_object", ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))),
-        ("repeated_key", F.array_contains(names, schema.key.name)),
-        ("unknown_property", F.size(F.array_except(names, F.array(*map(F.lit, known)))) > 0),
+        ("bad_json", ~is_valid_json(F.col("row_value"))),
+        ("not_an_object", F.col("__held").isNull()),
+        ("repeated_key", F.array_contains(names, schema.key.name.lower())),
+        ("unknown_property", F.size(F.array_except(names, known)) > 0),
     ]
     types = {"text": ["STRING"], "boolean": ["BOOLEAN"], "int": ["BIGINT"], "bigint": ["BIGINT"], "double": ["BIGINT", "DOUBLE", "DECIMAL"]}
     for c in schema.columns:
         if c is schema.key:
             continue
-        item = F.try_variant_get(v, f"$.{c.name}", "variant")
+        item = last_of(c.name.lower())
         missing = item.isNull() | F.is_variant_null(item)
         if c.not_null:
             checks.append(("null_value", missing))
         fits = reduce(lambda a, b: a | b, [F.schema_of_variant(item).startswith(t) for t in types[c.kind]])
         if c.kind == "int":
-            fits = fits & F.try_variant_get(v, f"$.{c.name}", "int").isNotNull()
+            fits = fits & F.try_variant_get(item, "$", "int").isNotNull()
         checks.append(("wrong_type", ~missing & ~F.coalesce(fits, F.lit(False))))
     problem = F.when(checks[0][1], checks[0][0])
     for name, broken in checks[1:]:
         problem = problem.when(broken, name)
-    return rows.withColumn("problem", problem)
+    return held.withColumn("problem", problem).drop("__held")
+
+
+def declared_names(rows: DataFrame, schema: RelationalSchema) -> DataFrame:
+    """Valid ``rows`` with the members of ``row_value`` spelled as declared, so that typed reads find them; other texts stay as they are."""
+    names = {c.name.lower(): c.name for c in schema.columns if c is not schema.key}
+    if not names:
+        return rows
+    declared = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    last = F.filter("__held", lambda e, i: ~F.exists(F.slice("__held", i + 2, F.size("__held")), lambda later: later["key"] == e["key"]))
+    spelled = F.to_json(F.map_from_entries(F.transform(last, lambda e: F.struct(F.coalesce(declared[e["key"]], e["spelled"]), e["value"]))))
+    differs = F.exists("__held", lambda e: e["spelled"] != F.coalesce(declared[e["key"]], e["spelled"]))
+    held = rows.withColumn("__held", _properties(schema))
+    return held.withColumn("row_value", F.when(differs, spelled).otherwise(F.col("row_value"))).drop("__held")
 
 
 def equals(column: str, kind: T.DataType, literal) -> Column:
@@ -199,19 +231,3 @@ def render_text(rows: DataFrame) -> DataFrame:
 
     return rows.select(*[text(f.name, f.dataType) for f in rows.schema.fields])
 
-
-def upsert_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``table`` with ``rows`` put over it by key."""
-    return table.join(rows, key, "left_anti").unionByName(rows.select(*table.columns))
-
-
-def update_by_key(table: DataFrame, key: str, value, changes: dict[str, Column]) -> DataFrame:
-    """``table`` with columns of one key set anew; the key itself cannot change."""
-    if key in changes:
-        raise EngineError("the primary key cannot be changed")
-    hit = F.col(key) == F.lit(value)
-    return table.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in table.columns])
-
-
-def delete_by_key(table: DataFrame, key: str, value) -> DataFrame:
-    return table.where(~F.col(key).eqNullSafe(F.lit(value)))

@@ -110,23 +110,13 @@ def kv_lookup_join(spark, d):
 # -- documents ---------------------------------------------------------------------------------
 
 
-@query(f"SELECT key FROM {EV} WHERE value = '{{\"k\": 69}}' ORDER BY key LIMIT 1000")
-def doc_value_exact(spark, d):
-    return _ev(spark, d).sql("SELECT key FROM ev WHERE value = '{\"k\": 69}' LIMIT 1000")
-
-
 @query(f"SELECT key FROM {EV} WHERE value = '{{\"k\": 69}}'")
-def doc_value_exact_whole(spark, d):
+def doc_value_exact(spark, d):
     return _ev(spark, d).whole("SELECT key FROM ev WHERE value = '{\"k\": 69}'")
 
 
-@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '69' ORDER BY key LIMIT 1000")
-def doc_json_eq_int(spark, d):
-    return _ev(spark, d).sql("SELECT key, value FROM ev WHERE value.k = '69' LIMIT 1000")
-
-
 @query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '69'")
-def doc_json_eq_int_whole(spark, d):
+def doc_json_eq_int(spark, d):
     return _ev(spark, d).whole("SELECT key, value FROM ev WHERE value.k = '69'")
 
 
@@ -143,39 +133,59 @@ def doc_json_fullscan_uncapped_count(spark, d):
     return rows.where(comparable(F.col("row_value"), "k") >= "0").agg(F.count("*").alias("n"))
 
 
-_DOCS = [
-    ("a", '{"p": {"city": "Paris"}, "x": null, "n": 1.0}'), ("b", '{"p": {"city": "Lyon"}, "x": "null"}'), ("c", '{"p": "Paris", "x": 1}'),
-    ("d", '{"x": {"y": [1, 2]}}'), ("e", "[1]"), ("f", "plain"), ("g", '{"p": {"city": true}}'),
-]
-_DOCS_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _DOCS) + ") AS t(key, value)"
+_FILES = "(SELECT concat_ws('/', file_id, row_key) AS key, row_value AS value FROM kv_files)"
+#: SQL for a member's comparable text: strings decoded, null as text, anything else as it is written.
+_AT = "CASE WHEN json_valid(value) THEN CASE WHEN json_type(value, '{0}') = 'NULL' THEN 'null' ELSE json_extract_string(value, '{0}') END END"
 
 
-def _docs(spark) -> Tables:
-    return Tables({"docs": spark.createDataFrame(_DOCS, "row_key string, row_value string")})
+def _files(spark, d) -> Tables:
+    rows = adapters.table(spark, d, "kv_files")
+    return Tables({"files": rows.select(F.concat_ws("/", "file_id", "row_key").alias("row_key"), "row_value"), "records": adapters.table(spark, d, "doc_rows").select("row_key", "row_value")})
 
 
-@query(f"SELECT key FROM {_DOCS_SQL} WHERE json_valid(value) AND json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.p.city') = 'Paris'")
+@query(f"SELECT row_key AS key FROM (SELECT row_key, row_value AS value FROM doc_rows) WHERE {_AT.format('$.header.origin.city')} = 'Tellaway'")
 def doc_json_nested_path(spark, d):
-    return _docs(spark).sql("SELECT key FROM docs WHERE value.p.city = 'Paris'")
+    return _files(spark, d).whole("SELECT key FROM records WHERE value.header.origin.city = 'Tellaway'")
 
 
-@query(f"""SELECT key FROM {_DOCS_SQL} WHERE json_valid(value) AND (json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.x') = 'null'
-           OR json_type(json_extract(CASE WHEN json_valid(value) THEN value END, '$.x')) = 'NULL')""")
+@query(f"SELECT key FROM {_FILES} WHERE {_AT.format('$.carrier')} = 'null'")
 def doc_json_null_literal(spark, d):
-    return _docs(spark).sql("SELECT key FROM docs WHERE value.x = 'null'")
+    return _files(spark, d).whole("SELECT key FROM files WHERE value.carrier = 'null'")
 
 
-@query(f"SELECT count(*) AS n FROM {_DOCS_SQL} WHERE key = 'zzz'")
+@query(f"SELECT count(*) AS n FROM {_FILES} WHERE {_AT.format('$.carrier.none')} = 'null'")
 def doc_json_missing_path(spark, d):
-    return _docs(spark).sql("SELECT key FROM docs WHERE value.q.r = 'null'").agg(F.count("*").alias("n"))
+    return _files(spark, d).whole("SELECT key FROM files WHERE value.carrier.none = 'null'").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT key, json_valid(value) AS valid FROM {_DOCS_SQL}")
+@query(f"SELECT key, value, coalesce(json_valid(value), false) AS valid FROM {_FILES}")
 def doc_json_validity(spark, d):
     from lodestrata.functions.json_values import is_valid_json
 
-    rows = spark.createDataFrame(_DOCS, "key string, value string")
-    return rows.select("key", is_valid_json(F.col("value")).alias("valid"))
+    return _files(spark, d).state("files").select(F.col("row_key").alias("key"), F.col("row_value").alias("value"), is_valid_json(F.col("row_value")).alias("valid"))
+
+
+_PRICES = "(SELECT o_orderkey, concat('{\"total\": ', printf('%.2f', o_totalprice), ', \"tag\": {\"p\":  \"', o_orderpriority, '\"}, \"n\": 0, \"n\": 1e', o_custkey % 7, '}') AS value, printf('%.2f', o_totalprice) AS total, o_orderpriority AS p, o_custkey % 7 AS e FROM orders)"
+
+
+@query(f"""SELECT o_orderkey, total, '1e' || e AS n, '{{"p":  "' || p || '"}}' AS tag FROM {_PRICES}""")
+def doc_text_as_written(spark, d):
+    """Numbers and objects keep the spelling they are written in; the last of repeated members counts."""
+    from lodestrata.functions.json_values import exact_comparable
+
+    o = adapters.table(spark, d, "orders")
+    value = F.format_string('{"total": %.2f, "tag": {"p":  "%s"}, "n": 0, "n": 1e%d}', "o_totalprice", "o_orderpriority", F.col("o_custkey") % 7)
+    rows = o.select("o_orderkey", value.alias("v"))
+    return rows.select("o_orderkey", *[exact_comparable(F.col("v"), m).alias(m) for m in ("total", "n", "tag")])
+
+
+@query(f"SELECT o_orderkey FROM {_PRICES} WHERE e = 3")
+def doc_json_eq_exponent(spark, d):
+    from lodestrata.functions.json_values import equals_text
+
+    o = adapters.table(spark, d, "orders")
+    value = F.format_string('{"total": %.2f, "n": 0, "n": 1e%d}', "o_totalprice", F.col("o_custkey") % 7)
+    return o.select("o_orderkey", value.alias("v")).where(equals_text(F.col("v"), "n", "1e3")).select("o_orderkey")
 
 
 # -- versions ----------------------------------------------------------------------------------
@@ -253,13 +263,8 @@ def rel_select_pk(spark, d):
     return _customers(spark, d).sql("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
 
 
-@query("SELECT c_name, c_custkey FROM customer WHERE lower(c_mktsegment) = 'building' ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 1000")
-def rel_select_text_eq_ci(spark, d):
-    return _customers(spark, d).sql("SELECT c_name, c_custkey FROM customer WHERE c_mktsegment = 'bUiLdInG' LIMIT 1000")
-
-
 @query("SELECT c_name, c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
-def rel_select_text_eq_ci_whole(spark, d):
+def rel_select_text_eq_ci(spark, d):
     return _customers(spark, d).whole("SELECT c_name, c_custkey FROM customer WHERE c_mktsegment = 'bUiLdInG'")
 
 
@@ -268,55 +273,40 @@ def rel_select_star_limit(spark, d):
     return _customers(spark, d).sql("SELECT * FROM customer LIMIT 12")
 
 
-_PEOPLE = [(1, "Ada", True), (2, None, False), (3, "", None)]
-_PEOPLE_SQL = "(VALUES (1, 'Ada', true), (2, NULL, false), (3, '', NULL)) AS t(id, name, active)"
-
+def _deliveries(spark, d) -> Tables:
+    schema = RelationalSchema([ColumnSpec("delivery_id", "bigint", True, True), ColumnSpec("operation", "text"), ColumnSpec("is_deleted", "boolean"), ColumnSpec("table_name", "text")])
+    return Tables({"deliveries": adapters.table(spark, d, "change_log").select(*[c.name for c in schema.columns])}, {"deliveries": schema})
 
-def _people(spark) -> Tables:
-    schema = RelationalSchema([ColumnSpec("id", "int", True, True), ColumnSpec("name", "text"), ColumnSpec("active", "boolean")])
-    return Tables({"people": spark.createDataFrame(_PEOPLE, "id int, name string, active boolean")}, {"people": schema})
 
-
-@query(f"SELECT id FROM {_PEOPLE_SQL} WHERE coalesce(name, '') = ''")
+@query("SELECT delivery_id FROM change_log WHERE coalesce(table_name, '') = ''")
 def rel_null_as_empty(spark, d):
-    return _people(spark).sql("SELECT id FROM people WHERE name = ''")
+    return _deliveries(spark, d).whole("SELECT delivery_id FROM deliveries WHERE table_name = ''")
 
 
-@query(f"""SELECT CAST(id AS VARCHAR) AS id, coalesce(name, '') AS name,
-           CASE WHEN active THEN 'True' WHEN NOT active THEN 'False' ELSE '' END AS active FROM {_PEOPLE_SQL}""")
+@query("""SELECT CAST(delivery_id AS VARCHAR) AS delivery_id, coalesce(operation, '') AS operation,
+          CASE WHEN is_deleted THEN 'True' WHEN NOT is_deleted THEN 'False' ELSE '' END AS is_deleted, coalesce(table_name, '') AS table_name FROM change_log""")
 def rel_render_text(spark, d):
-    return relational.render_text(_people(spark).sql("SELECT * FROM people"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
-def rel_update_by_pk(spark, d):
-    rows = adapters.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return relational.update_by_key(rows, "c_custkey", 7, {"c_mktsegment": F.lit("MOVED")})
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <> 7")
-def rel_delete_by_pk(spark, d):
-    return relational.delete_by_key(adapters.table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 7)
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (3, -1) UNION ALL SELECT 3, 'replaced' UNION ALL SELECT -1, 'new'")
-def rel_insert_upsert(spark, d):
-    rows = adapters.table(spark, d, "customer").select("c_custkey", "c_name")
-    return relational.upsert_rows(rows, spark.createDataFrame([(3, "replaced"), (-1, "new")], "c_custkey bigint, c_name string"), "c_custkey")
+    return relational.render_text(_deliveries(spark, d).whole("SELECT * FROM deliveries"))
 
 
-_ROWS = [
-    ("42", '{"name": "Ada", "active": true}', None), ("43", '{"active": true}', "null_value"), ("x", '{"name": "Ada"}', "bad_key"), ("44", '{"name": 1}', "wrong_type"),
-    ("45", '{"name": "Ada", "id": 45}', "repeated_key"), ("46", '{"name": "Ada", "age": 3}', "unknown_property"), ("47", "[1]", "not_an_object"),
-    ("48", "{", "bad_json"), ("49", '{"name": "Ada", "active": null}', None), ("50", '{"name": "Ada", "active": 1}', "wrong_type"),
-]
+_RULES = RelationalSchema([
+    ColumnSpec("row_key", "text", True, True), ColumnSpec("colour", "text", False, True), ColumnSpec("markers", "text"), ColumnSpec("temperature", "int"),
+    ColumnSpec("fragile", "boolean"), ColumnSpec("weightGrams", "double"),
+])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {repr(p) if p else 'NULL'})" for k, _, p in _ROWS) + ") AS t(row_key, problem)")
+@query("""
+    WITH f AS (SELECT file_id, row_key, row_value, CASE WHEN json_valid(row_value) THEN row_value END AS v FROM kv_files),
+    k AS (SELECT file_id, row_key, row_value, v, [lower(x) for x in CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END] AS names FROM f),
+    u AS (SELECT *, len([x for x in names if x NOT IN ('colour', 'markers', 'temperature', 'fragile', 'weightgrams')]) AS unknown,
+          json_type(v, '$.colour') AS colour, json_type(v, '$.markers') AS markers, json_type(v, '$.temperature') AS temperature, json_type(v, '$.fragile') AS fragile, json_type(v, '$.weightGrams') AS weight FROM k)
+    SELECT file_id, row_key, row_value, CASE WHEN v IS NULL THEN 'bad_json' WHEN names IS NULL THEN 'not_an_object' WHEN unknown > 0 THEN 'unknown_property'
+        WHEN coalesce(colour, 'NULL') = 'NULL' THEN 'null_value' WHEN colour <> 'VARCHAR' OR coalesce(markers, 'NULL') NOT IN ('NULL', 'VARCHAR')
+            OR coalesce(temperature, 'NULL') NOT IN ('NULL', 'UBIGINT', 'BIGINT') OR coalesce(fragile, 'NULL') NOT IN ('NULL', 'BOOLEAN')
+            OR coalesce(weight, 'NULL') NOT IN ('NULL', 'UBIGINT', 'BIGINT', 'DOUBLE') THEN 'wrong_type' END AS problem FROM u""")
 def rel_validate_rows(spark, d):
-    schema = RelationalSchema([ColumnSpec("id", "int", True, True), ColumnSpec("name", "text", False, True), ColumnSpec("active", "boolean")])
-    rows = spark.createDataFrame([r[:2] for r in _ROWS], "row_key string, row_value string")
-    return relational.validate_rows(rows, schema).select("row_key", "problem")
+    rows = adapters.table(spark, d, "kv_files").select("file_id", "row_key", "row_value")
+    return relational.validate_rows(rows, _RULES)
 
 
 # -- joins -------------------------------------------------------------------------------------
@@ -338,12 +328,13 @@ def join_key_key(spark, d):
     return keyed_joins.join_states(t.state("users"), t.state("cust"), None, None).select(F.col("left_key").alias("user_key"), F.col("right_key").alias("customer_key"))
 
 
-@query(f"""SELECT e.key AS event_key, 'code:' || c.k AS code_key FROM {EV} e JOIN (SELECT unnest(range(100)) AS k) c ON json_extract_string(e.value, '$.k') = CAST(c.k AS VARCHAR)""")
+@query("""SELECT printf('order:%08d', o_orderkey) AS order_key, CAST(c_custkey AS VARCHAR) AS customer_key FROM orders JOIN customer ON o_custkey = c_custkey""")
 def join_json_json(spark, d):
-    """Events with the code their JSON names; the codes hold theirs in JSON too."""
-    codes = spark.range(100).select(F.format_string("code:%d", "id").alias("row_key"), F.format_string('{"id": {"k": "%d"}}', "id").alias("row_value"))
-    found = keyed_joins.join_states(adapters.event_documents(spark, d), codes, "k", "id.k")
-    return found.select(F.col("left_key").alias("event_key"), F.col("right_key").alias("code_key"))
+    """Orders with their customer; both sides name it in JSON."""
+    c = adapters.table(spark, d, "customer")
+    customers = c.select(F.col("c_custkey").cast("string").alias("row_key"), F.to_json(F.struct(F.struct(F.col("c_custkey").alias("no")).alias("id"), "c_name")).alias("row_value"))
+    found = keyed_joins.join_states(adapters.order_documents(spark, d), customers, "customerId", "id.no")
+    return found.select(F.col("left_key").alias("order_key"), F.col("right_key").alias("customer_key"))
 
 
 @query(f"SELECT c.key AS customer_key, o.key AS order_key FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer")
@@ -357,63 +348,51 @@ def join_fanout_limit(spark, d):
     return _join_tables(spark, d).sql("SELECT cust.key, ord.key FROM cust JOIN ord ON cust.key = ord.value.customerId LIMIT 40")
 
 
-@query(f"""SELECT u.row_key AS "users.key", u.row_value AS "users.value", c.key AS "cust.key", c.value AS "cust.value"
-           FROM {STATE} u JOIN {_CUST} c ON u.row_key = c.key ORDER BY u.row_key, c.key LIMIT 100""")
-def join_star_projection(spark, d):
-    return _join_tables(spark, d).sql("SELECT * FROM users JOIN cust ON users.key = cust.key")
-
-
 @query(f"""SELECT u.row_key AS "users.key", u.row_value AS "users.value", c.key AS "cust.key", c.value AS "cust.value"
            FROM {STATE} u JOIN {_CUST} c ON u.row_key = c.key""")
-def join_star_projection_whole(spark, d):
+def join_star_projection(spark, d):
     return _join_tables(spark, d).whole("SELECT * FROM users JOIN cust ON users.key = cust.key")
 
 
-@query(f"""SELECT c.key AS "cust.key", o.key AS "ord.key" FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer
-           WHERE c.key BETWEEN '10' AND '12' ORDER BY c.key, o.key LIMIT 1000""")
-def join_where(spark, d):
-    return _join_tables(spark, d).sql("SELECT cust.key, ord.key FROM cust JOIN ord ON cust.key = ord.value.customerId WHERE cust.key BETWEEN '10' AND '12' LIMIT 1000")
-
-
 @query(f"""SELECT c.key AS "cust.key", o.key AS "ord.key" FROM {_CUST} c JOIN {_ORD} o ON c.key = o.customer WHERE c.key BETWEEN '10' AND '12'""")
-def join_where_whole(spark, d):
+def join_where(spark, d):
     return _join_tables(spark, d).whole("SELECT cust.key, ord.key FROM cust JOIN ord ON cust.key = ord.value.customerId WHERE cust.key BETWEEN '10' AND '12'")
 
 
 # -- indexes and views -------------------------------------------------------------------------
 
 
-def _indexed(spark, d) -> Tables:
-    rows = adapters.event_documents(spark, d)
-    return Tables({"ev": rows}, indexed={("ev", "k"): indexes.build_index(rows, "k")})
-
+def _indexed(spark, d, storage: str = "BTREE"):
+    """An engine with the events and a stored index on their k."""
+    from lodestrata.engine import Engine
 
-@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '12' ORDER BY key LIMIT 1000")
-def index_eq_lookup(spark, d):
-    return _indexed(spark, d).sql("SELECT key, value FROM ev WHERE value.k = '12' LIMIT 1000")
+    e = Engine(spark, scratch_path(spark, "engine"), compat_caps=False)
+    e.store.attach("ev", adapters.event_documents(spark, d))
+    e.sql(f"CREATE INDEX by_k ON ev (value.k) USING {storage}")
+    return e
 
 
 @query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '12'")
-def index_eq_lookup_whole(spark, d):
-    return _indexed(spark, d).whole("SELECT key, value FROM ev WHERE value.k = '12'")
+def index_eq_lookup(spark, d):
+    return _indexed(spark, d).query("SELECT key, value FROM ev WHERE value.k = '12'")
 
 
 @query(f"SELECT key FROM {EV} WHERE key <= 'event:00005000' AND json_extract_string(value, '$.k') = '12' ORDER BY key LIMIT 100")
 def index_eq_lookup_in_range(spark, d):
-    return _indexed(spark, d).sql("SELECT key FROM ev WHERE key <= 'event:00005000' AND value.k = '12'")
+    return _indexed(spark, d, "FASTWRITE").sql("SELECT key FROM ev WHERE key <= 'event:00005000' AND value.k = '12'").rows
 
 
 @query(f"""SELECT unnest(['by_index', 'by_scan']) AS way, count(*) AS n FROM {EV} WHERE json_extract_string(value, '$.k') = '31'""")
 def index_matches_scan(spark, d):
-    text = "SELECT key FROM ev WHERE value.k = '31' LIMIT 1000000"
-    ways = {"by_index": _indexed(spark, d).sql(text, None), "by_scan": _ev(spark, d).sql(text, None)}
+    text = "SELECT key FROM ev WHERE value.k = '31'"
+    ways = {"by_index": _indexed(spark, d).query(text), "by_scan": _ev(spark, d).whole(text)}
     one, two = (rows.agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), "n") for way, rows in ways.items())
     return one.unionByName(two)
 
 
 @query(f"SELECT json_extract_string(value, '$.k') AS indexed_value, key AS row_key FROM {EV}")
 def index_entries(spark, d):
-    return indexes.index_entries(indexes.build_index(adapters.event_documents(spark, d), "k"))
+    return _indexed(spark, d).index_entries("by_k")
 
 
 @query(f"SELECT json_extract_string(value, '$.k') AS indexed_value, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM {EV} GROUP BY 1")
@@ -433,23 +412,13 @@ def _viewed(spark, d) -> Tables:
     return t
 
 
-@query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '7' ORDER BY key LIMIT 1000")
-def view_filter(spark, d):
-    return _viewed(spark, d).sql("SELECT * FROM hot LIMIT 1000")
-
-
 @query(f"SELECT key, value FROM {EV} WHERE json_extract_string(value, '$.k') = '7'")
-def view_filter_whole(spark, d):
+def view_filter(spark, d):
     return _viewed(spark, d).whole("SELECT * FROM hot")
 
 
-@query(f"SELECT key FROM {EV} WHERE json_extract_string(value, '$.k') = '7' AND key >= 'event:00002000' ORDER BY key LIMIT 1000")
-def view_over_view(spark, d):
-    return _viewed(spark, d).sql("SELECT key FROM hot_late LIMIT 1000")
-
-
 @query(f"SELECT key FROM {EV} WHERE json_extract_string(value, '$.k') = '7' AND key >= 'event:00002000'")
-def view_over_view_whole(spark, d):
+def view_over_view(spark, d):
     return _viewed(spark, d).whole("SELECT key FROM hot_late")
 
 
@@ -592,9 +561,13 @@ def tx_commit_state(spark, d):
     return versions.latest_state(log.unionByName(committed)).select("row_key", "row_value")
 
 
-@query("SELECT * FROM (VALUES ('12', '{\"k\": 1}', false), ('12x', '{\"k\": 2}', false), ('13', NULL, true)) AS t(row_key, row_value, is_deleted)")
+@query("""SELECT coalesce(table_name, 'kv') AS table_name, row_key, arg_max(struct_pack(v := row_value), delivery_id).v AS row_value, arg_max(coalesce(is_deleted, false), delivery_id) AS is_deleted
+          FROM change_log GROUP BY 1, 2""")
 def tx_last_write_wins(spark, d):
-    return overlay.last_writes(spark.createDataFrame(_STAGED, "row_key string, row_value string, is_deleted boolean, staged_at bigint"))
+    """The whole change log staged in order of arrival."""
+    log = adapters.table(spark, d, "change_log")
+    staged = log.select(F.coalesce("table_name", F.lit("kv")).alias("table_name"), "row_key", "row_value", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"), F.col("delivery_id").alias("staged_at"))
+    return overlay.last_writes(staged, ("table_name", "row_key"))
 
 
 # -- changes and replicas ----------------------------------------------------------------------
@@ -636,19 +609,22 @@ def stream_dedup_sequence(spark, d):
     return spark.read.parquet(f"{path}/out").agg(F.count("*").alias("entries"), F.count_distinct("seq").alias("sequences"))
 
 
-_NODES = [("a", 10000, 9975), ("b", 50, 50), ("c", 10, 30), ("d", None, 5), ("e", 7, None)]
-_NODES_SQL = "(VALUES ('a', 10000, 9975), ('b', 50, 50), ('c', 10, 30), ('d', NULL, 5), ('e', 7, NULL)) AS t(node, leader, applied)"
+_REPORTS = """(SELECT s.table_name, node_id, reported_at, last_applied_seq AS applied, top AS leader
+               FROM node_status s LEFT JOIN (SELECT table_name, max(seq) AS top FROM kv_leader GROUP BY 1) USING (table_name))"""
 
 
-def _nodes(spark):
-    return spark.createDataFrame(_NODES, "node string, leader bigint, applied bigint")
+def _reports(spark, d):
+    """Every report with the newest sequence of its table's leader copy; tables without a copy have none."""
+    top = adapters.table(spark, d, "kv_leader").groupBy("table_name").agg(F.max("seq").alias("leader"))
+    s = adapters.table(spark, d, "node_status").select("table_name", "node_id", "reported_at", F.col("last_applied_seq").alias("applied"))
+    return s.join(top, "table_name", "left")
 
 
-@query(f"""SELECT node, CAST(CASE WHEN leader IS NOT NULL AND applied IS NOT NULL THEN greatest(0, leader - applied) END AS BIGINT) AS lag,
-           CASE WHEN leader IS NULL OR applied IS NULL THEN 'unknown' WHEN leader <= applied THEN 'caught-up' ELSE 'behind' END AS status FROM {_NODES_SQL}""")
+@query(f"""SELECT table_name, node_id, reported_at, CAST(CASE WHEN leader IS NOT NULL AND applied IS NOT NULL THEN greatest(0, leader - applied) END AS BIGINT) AS lag,
+           CASE WHEN leader IS NULL OR applied IS NULL THEN 'unknown' WHEN leader <= applied THEN 'caught-up' ELSE 'behind' END AS status FROM {_REPORTS}""")
 def replica_lag(spark, d):
     l, a = F.col("leader"), F.col("applied")
-    return _nodes(spark).select("node", placement.lag(l, a).cast("bigint").alias("lag"), placement.lag_status(l, a).alias("status"))
+    return _reports(spark, d).select("table_name", "node_id", "reported_at", placement.lag(l, a).cast("bigint").alias("lag"), placement.lag_status(l, a).alias("status"))
 
 
 @query("""SELECT table_name, node_id, CAST(greatest(0, top - last_applied_seq) AS BIGINT) AS lag FROM (
@@ -662,45 +638,57 @@ def replica_lag_of_reports(spark, d):
     return reports.join(top, "table_name").select("table_name", "node_id", placement.lag(F.col("top"), F.col("last_applied_seq")).cast("bigint").alias("lag"))
 
 
-@query(f"SELECT node, coalesce(applied >= greatest(0, 10000 - 25), false) AS eligible FROM {_NODES_SQL}")
+@query(f"SELECT table_name, node_id, reported_at, coalesce(applied >= greatest(0, leader - 25), false) AS eligible FROM {_REPORTS}")
 def bounded_staleness_eligible(spark, d):
-    return _nodes(spark).select("node", placement.eligible(F.col("applied"), "bounded", F.lit(10000), F.lit(25)).alias("eligible"))
+    may = placement.eligible(F.col("applied"), "bounded", F.col("leader"), F.lit(25))
+    return _reports(spark, d).select("table_name", "node_id", "reported_at", may.alias("eligible"))
 
 
-@query(f"SELECT node, coalesce(applied >= 40, false) AS eligible FROM {_NODES_SQL}")
+@query(f"SELECT table_name, node_id, reported_at, coalesce(applied >= 1500, false) AS eligible FROM {_REPORTS}")
 def session_eligible(spark, d):
-    return _nodes(spark).select("node", placement.eligible(F.col("applied"), "session", token=F.lit(40)).alias("eligible"))
+    return _reports(spark, d).select("table_name", "node_id", "reported_at", placement.eligible(F.col("applied"), "session", token=F.lit(1500)).alias("eligible"))
 
 
 # -- catalog, placement, measures --------------------------------------------------------------
 
 
 def _engine(spark, d):
+    """An engine with one table per table of the change log, two attached tables and a view."""
     from lodestrata.engine import Engine
 
     e = Engine(spark, scratch_path(spark, "engine"))
     e.store.attach("ev", adapters.event_documents(spark, d))
     e.store.attach("customer", adapters.table(spark, d, "customer"), "relational", CUSTOMER)
-    e.sql("CREATE TABLE accounts")
     e.sql("CREATE VIEW hot AS SELECT * FROM ev WHERE value.k = '7'")
+    for name in [r[0] for r in adapters.table(spark, d, "change_log").select(F.lower("table_name").alias("t")).where("t IS NOT NULL").distinct().orderBy("t").collect()]:
+        e.sql(f"CREATE TABLE {name}")
     return e
 
 
-@query("""SELECT * FROM (VALUES ('accounts', 'document', '', ''), ('customer', 'relational', '', ''), ('ev', 'document', '', ''), ('hot', 'view', '', ''),
-          ('kv', 'kv', '', '')) AS t("table", kind, leader, leader_url)""")
+_NAMED = """(SELECT DISTINCT lower(table_name) AS "table", CASE lower(table_name) WHEN 'kv' THEN 'kv' ELSE 'document' END AS kind FROM change_log WHERE table_name IS NOT NULL
+             UNION SELECT 'kv', 'kv' UNION ALL SELECT 'customer', 'relational' UNION ALL SELECT 'ev', 'document' UNION ALL SELECT 'hot', 'view')"""
+
+
+@query(f"""SELECT "table", kind, '' AS leader, '' AS leader_url FROM {_NAMED}""")
 def show_tables(spark, d):
     return _engine(spark, d).sql("SHOW TABLES").rows
 
 
-@query("SELECT * FROM (VALUES ('document', 2), ('kv', 1), ('relational', 1), ('view', 1)) AS t(kind, n)")
+@query(f"SELECT kind, CAST(count(*) AS INTEGER) AS n FROM {_NAMED} GROUP BY kind")
 def table_kinds(spark, d):
     return _engine(spark, d).tables().groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
-@query()
+@query("""
+    WITH t AS (SELECT table_name, max(struct_pack(a := current_term, b := coalesce(leader_id, ''))) AS old FROM node_status GROUP BY 1),
+    r AS (SELECT table_name, old, ['db-east', 'db-north', 'db-west'] AS ring, ('0x' || substr(sha256(table_name), 1, 2))::INTEGER + 256 * ('0x' || substr(sha256(table_name), 3, 2))::INTEGER AS h FROM t),
+    m AS (SELECT table_name, old, [ring[h % 3 + 1], ring[(h + 1) % 3 + 1]] AS members FROM r)
+    SELECT table_name, CAST(coalesce(old.a + CASE WHEN old.b <> '' AND NOT coalesce(list_contains(members, old.b), false) THEN 1 ELSE 0 END, 1) AS BIGINT) AS term,
+        CASE WHEN coalesce(list_contains(members, old.b), false) THEN old.b ELSE members[1] END AS leader, array_to_string(members, ',') AS members FROM m""")
 def ownership_planner(spark, d):
-    tables = adapters.table(spark, d, "node_status").select("table_name").distinct()
-    return placement.plan_ownership(tables, ["db-east", "db-north", "db-west"], 2)
+    tables = adapters.table(spark, d, "node_status").select("table_name", F.col("leader_id").alias("current_leader"), F.col("current_term"))
+    planned = placement.plan_ownership(tables, ["db-west", "db-east", "db-north"], 2)
+    return planned.withColumn("members", F.array_join("members", ","))
 
 
 @query("""SELECT node_id, CAST(count(*) FILTER (WHERE node_role = 'leader') AS BIGINT) AS tables FROM (

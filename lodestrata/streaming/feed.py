@@ -65,8 +65,14 @@ class Materializer:
         parts = [self._read("batch", n) for n in self._numbers("batch") if n > base]
         if base >= 0:
             parts.append(self._read("base", base))
+        elif self._numbers("seed"):
+            parts.append(self._read("seed", 0))
         return versions.newest(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], STATE)
 
+    def seed(self, rows: DataFrame) -> None:
+        """The live rows (row_key, seq, row_value) of a snapshot that the batches follow."""
+        rows.withColumn("is_deleted", F.lit(False)).select(STATE.names).write.mode("overwrite").parquet(self.files.at(f"seed-{0:012d}"))
+
     def live(self) -> DataFrame:
         return self.read().where("NOT is_deleted").drop("is_deleted")
 
