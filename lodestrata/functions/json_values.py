@@ -22,19 +22,19 @@ STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _STRICT_SQL = "map('allowSingleQuotes','false','allowNonNumericNumbers','false')"
 
 
-def sole_value_sql(text: str) -> str:
-    """SQL for the one JSON value that ``text`` holds, strings decoded; NULL if it is broken.
+def valid_json_sql(text: str) -> str:
+    """SQL: whether ``text`` holds exactly one JSON value.
 
-    Wrapping in brackets makes trailing garbage a parse error, which a bare ``from_json`` accepts.
+    In brackets and with a null behind it, so that a second value, trailing garbage and an early end
+    of the brackets all show; a bare parse accepts what follows the first value.
     """
-    wrapped = f"from_json(concat('[', {text}, ']'), 'array<string>', {_STRICT_SQL})"
-    return f"transform(array({wrapped}), w -> CASE WHEN size(w) = 1 THEN w[0] END)[0]"
+    return f"coalesce(size(from_json(concat('[', {text}, ',null]'), 'array<string>', {_STRICT_SQL})) = 2, false)"
 
 
 def is_valid_json(text: Column) -> Column:
     """True for text that holds exactly one JSON value, NULL in gives False."""
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(T.StringType()), STRICT)
-    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), T.ArrayType(T.StringType()), STRICT)
+    return F.coalesce(F.size(parsed) == 2, F.lit(False))
 
 
 #: A JSON number outside of strings, with all that stands between it and the number before.
@@ -61,10 +61,10 @@ def comparable(text: Column, path: str) -> Column:
     leaf, members = _member(last, "string"), "map<string,string>"
     for name in reversed(above):
         leaf, members = _member(name, leaf), _member(name, members)
-    spelled = F.concat(F.lit("["), F.regexp_replace(text, _NUMBER_AT, '$1"$2"'), F.lit("]"))
+    spelled = F.concat(F.lit("["), F.regexp_replace(text, _NUMBER_AT, '$1"$2"'), F.lit(",null]"))
 
     def inside(rows: Column, names: list[str]) -> Column:
-        found = F.when(F.size(rows) == 1, F.get(rows, F.lit(0)))
+        found = F.when(F.size(rows) == 2, F.get(rows, F.lit(0)))
         for name in names:
             found = found.getField(name)
         return found

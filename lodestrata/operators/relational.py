@@ -149,8 +149,8 @@ def declared_value(schema: RelationalSchema, value: str) -> str:
 
 def _properties(schema: RelationalSchema) -> Column:
     """array<struct<key,value>> of the members of ``row_value``, named in lower case, values as variants; NULL if it is no object."""
-    parsed = F.from_json(F.concat(F.lit("["), F.col("row_value"), F.lit("]")), "array<map<string,variant>>", STRICT)
-    entries = F.map_entries(F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0))))
+    parsed = F.from_json(F.concat(F.lit("["), F.col("row_value"), F.lit(",null]")), "array<map<string,variant>>", STRICT)
+    entries = F.map_entries(F.when(F.size(parsed) == 2, F.get(parsed, F.lit(0))))
     return F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), e["key"].alias("spelled")))
 
 

@@ -101,6 +101,10 @@ def test_nested_odd_cases(spark):
     flat = nested.flatten_records(rows, ["a", "a.b"], ["row_key"])["a.b"]
     assert [r.x for r in nested.typed_columns(flat, "x int").where("row_key = '1' AND parent_path = 'a[0]'").collect()] == [1]
     assert nested.all_nodes(rows.limit(0), {"t": ["a"]}).count() == 0
+    # The last of repeated members counts; a second value or an early end of the text breaks a record.
+    odd = [("t", "1", '{"a": 5, "a": [{"b": {}, "b": "\\u005b{}, {}]"}]}'), ("t", "2", '{"a": [{}]}], [{}'), ("t", "3", '{"a": [{}]},{"a": [{}]}'), ("t", "4", "{'a': [{}]}"), ("t", "5", '{"a": [{"b": NaN}]}')]
+    found = nested.all_nodes(spark.createDataFrame(odd, "table_name string, row_key string, row_value string"), {"t": ["a", "a.b"]})
+    assert {tuple(r)[1:] for r in found.collect()} == {("1", "", "a[0]"), ("1", "a[0]", "a[0].b[0]"), ("1", "a[0]", "a[0].b[1]")}
 
 
 def test_incremental_survives_failure(spark, tmp_path):
