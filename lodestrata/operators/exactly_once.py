@@ -1,14 +1,14 @@
 """One delivery of each message, from disjoint ranges of sequences already seen.
 
 Per producer and chunk of the sequence space a state of disjoint ranges [low, high] is kept. A
-delivery is accepted if its number is uncovered by the ranges and it is the first of its batch;
-accepted numbers are merged into the ranges. Identifiers without a usable number are resolved by
-an exact keyed lookup on their text. The delivery with the smallest ``delivery_id`` wins; repeated
-rows of that delivery are the same delivery. A row without ``delivery_id`` is dropped only if its
-number was seen in an earlier batch.
-
-A number with very many deliveries is thinned first: salted groups keep their smallest delivery,
-so that few deliveries of one number meet in a task.
+number is accepted once if no range covers it, by its smallest ``delivery_id``; accepted numbers are
+merged into the ranges. Identifiers without a usable number are resolved by an exact keyed lookup on
+their text. Repeated rows of the accepted delivery are the same delivery. A row without
+``delivery_id`` is dropped only if its number was seen in an earlier batch.
+
+The deliveries of a number are reduced to the smallest before the shuffle, so only one row per number
+meets the ranges, whatever share of all rows one number has. Deliveries are then told from the
+accepted one by number and ``delivery_id`` together, which spreads a hot number over all tasks.
 """
 
 from __future__ import annotations
@@ -25,11 +25,25 @@ CHUNK = 65536
 BATCHES = 4
 
 
-def thin(rows: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """``rows`` with ``surely_late``: not the smallest delivery_id of its salted group."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.lit(salts)))
-    first = F.min("delivery_id").over(Window.partitionBy(*keys, "salt"))
-    return salted.withColumn("surely_late", F.coalesce(F.col("delivery_id") > first, F.lit(False))).drop("salt")
+def firsts(deliveries: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest delivery_id of each message, combined before the shuffle."""
+    return deliveries.groupBy(*keys).agg(F.min("delivery_id").alias("delivery_id"))
+
+
+def uncovered(numbers: DataFrame, seen: DataFrame | None, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``numbers`` (producer, seq and more, a row per number) that no range of ``seen`` covers.
+
+    One sorted pass per producer and chunk, over at most ``chunk`` numbers and the ranges there.
+    """
+    if seen is None:
+        return numbers
+    more = [c for c in numbers.columns if c not in ("producer", "seq")]
+    events = numbers.select("producer", F.floor(F.col("seq") / chunk).alias("chunk"), F.col("seq").alias("low"), F.lit(None).cast("bigint").alias("high"), *more)
+    ranges = seen.select("producer", F.floor(F.col("low") / chunk).alias("chunk"), "low", "high", *[F.lit(None).cast(numbers.schema[c].dataType).alias(c) for c in more])
+    # At an equal low end the range stands before the number.
+    scan = Window.partitionBy("producer", "chunk").orderBy("low", F.col("high").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = events.unionByName(ranges).withColumn("reach", F.max("high").over(scan))
+    return placed.where(F.col("high").isNull() & ~F.coalesce(F.col("reach") >= F.col("low"), F.lit(False))).select("producer", F.col("low").alias("seq"), *more)
 
 
 def screen(deliveries: DataFrame, seen: DataFrame | None = None, producer: Column | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -38,23 +52,17 @@ def screen(deliveries: DataFrame, seen: DataFrame | None = None, producer: Colum
     ``deliveries``: delivery_id and seq; ``seen``: producer, low, high of earlier batches.
     """
     producer = F.lit("") if producer is None else producer
-    rows = thin(deliveries.where(F.col("seq").isNotNull()).select("delivery_id", "seq", producer.alias("producer")), ["producer", "seq"])
-    late = rows.where("surely_late").select("delivery_id", "producer", "seq", F.lit(True).alias("late"))
-    events = rows.where("NOT surely_late").select(
-        "producer", F.floor(F.col("seq") / chunk).alias("chunk"), F.col("seq").alias("low"), F.col("seq").alias("high"), "delivery_id", F.lit(1).alias("arrived")
-    )
-    if seen is not None:
-        events = events.unionByName(seen.select(
-            "producer", F.floor(F.col("low") / chunk).alias("chunk"), "low", "high", F.lit(None).cast("bigint").alias("delivery_id"), F.lit(0).alias("arrived"),
-        ))
-    scan = Window.partitionBy("producer", "chunk").orderBy("low", "arrived", "delivery_id")
-    before = scan.rowsBetween(Window.unboundedPreceding, -1)
-    seen_to = F.max(F.when(F.col("arrived") == 0, F.col("high"))).over(before)
-    group = Window.partitionBy("producer", "chunk", "low").orderBy("arrived", "delivery_id")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    judged = events.withColumn("seen_to", seen_to).withColumn("first", F.min("delivery_id").over(whole)).where("arrived = 1")
-    is_late = F.coalesce(F.col("seen_to") >= F.col("low"), F.lit(False)) | F.coalesce(F.col("delivery_id") > F.col("first"), F.lit(False))
-    return judged.select("delivery_id", "producer", F.col("low").alias("seq"), is_late.alias("late")).unionByName(late)
+    rows = deliveries.where(F.col("seq").isNotNull()).select("delivery_id", "seq", producer.alias("producer"))
+    return _judge(rows, uncovered(firsts(rows, ["producer", "seq"]), seen, chunk), ["producer", "seq"]).select("delivery_id", "producer", "seq", "late")
+
+
+def _judge(rows: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``late``: not the accepted delivery of its message (or, without delivery_id, of a message seen before)."""
+    named, unnamed = rows.where(F.col("delivery_id").isNotNull()), rows.where(F.col("delivery_id").isNull())
+    first = accepted.select(*keys, "delivery_id", F.lit(False).alias("other"))
+    late = F.coalesce("other", F.lit(True)).alias("late")
+    judged = named.join(first.where(F.col("delivery_id").isNotNull()), [*keys, "delivery_id"], "left").select(*rows.columns, late)
+    return judged.unionByName(unnamed.join(first.drop("delivery_id"), keys, "left").select(*rows.columns, late))
 
 
 def merge_ranges(accepted: DataFrame, seen: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -75,19 +83,21 @@ def screen_batches(deliveries: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     A row without ``delivery_id`` stands in no batch and is never late.
     """
-    span = deliveries.where(F.col("seq").isNotNull()).agg(F.min("delivery_id"), F.max("delivery_id")).first()
-    without = deliveries.where(F.col("seq").isNotNull() & F.col("delivery_id").isNull())
-    parts = [without.select("delivery_id", F.lit("").alias("producer"), "seq", F.lit(False).alias("late"))]
-    seen = None
-    if span[0] is not None:
-        low, width = span[0], -(-(span[1] - span[0] + 1) // batches)
-        for n in range(batches):
-            first = low + n * width
-            batch = deliveries.where(F.col("delivery_id").between(first, first + width - 1))
-            parts.append(screen(batch, seen))
-            if n < batches - 1:
-                seen = cut_lineage(merge_ranges(parts[-1].where("NOT late"), seen))
-    return reduce(DataFrame.unionByName, parts)
+    numbered = deliveries.where(F.col("seq").isNotNull())
+    span = numbered.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+    without = numbered.where(F.col("delivery_id").isNull()).select("delivery_id", F.lit("").alias("producer"), "seq", F.lit(False).alias("late"))
+    if span[0] is None:
+        return without
+    low, width = span[0], -(-(span[1] - span[0] + 1) // batches)
+    seen, accepted = None, []
+    for n in range(batches):
+        batch = numbered.where(F.col("delivery_id").between(low + n * width, low + (n + 1) * width - 1)).select("delivery_id", "seq", F.lit("").alias("producer"))
+        new = cut_lineage(uncovered(firsts(batch, ["producer", "seq"]), seen))
+        accepted.append(new)
+        if n < batches - 1:
+            seen = cut_lineage(merge_ranges(new, seen))
+    rows = numbered.where(F.col("delivery_id").isNotNull()).select("delivery_id", F.lit("").alias("producer"), "seq")
+    return without.unionByName(_judge(rows, reduce(DataFrame.unionByName, accepted), ["producer", "seq"]))
 
 
 def parse_identifier(text: Column) -> Column:
@@ -105,16 +115,10 @@ def screen_identifiers(deliveries: DataFrame, seen: DataFrame | None = None, see
     parsed = deliveries.withColumn("p", parse_identifier(F.col("identifier")))
     good = parsed.where(F.col("p").isNotNull()).select("delivery_id", F.col("p.seq").alias("seq"), F.col("p.producer").alias("producer"))
     parts = [screen(good, seen, F.col("producer")).select("delivery_id", "late")]
-    odd = thin(parsed.where(F.col("p").isNull() & F.col("identifier").isNotNull()).select("delivery_id", "identifier"), ["identifier"])
-    parts.append(odd.where("surely_late").select("delivery_id", F.lit(True).alias("late")))
-    rest = odd.where("NOT surely_late")
+    odd = parsed.where(F.col("p").isNull() & F.col("identifier").isNotNull()).select("delivery_id", "identifier")
+    new = firsts(odd, ["identifier"])
     if seen_texts is not None:
-        known = seen_texts.select("identifier").distinct().withColumn("known", F.lit(True))
-        rest = rest.join(known, "identifier", "left")
-    else:
-        rest = rest.withColumn("known", F.lit(None).cast("boolean"))
-    first = F.min("delivery_id").over(Window.partitionBy("identifier"))
-    repeated = F.coalesce(F.col("delivery_id") > first, F.lit(False))
-    parts.append(rest.select("delivery_id", (F.coalesce("known", F.lit(False)) | repeated).alias("late")))
+        new = new.join(seen_texts.select("identifier").distinct(), "identifier", "left_anti")
+    parts.append(_judge(odd, new, ["identifier"]).select("delivery_id", "late"))
     parts.append(parsed.where(F.col("identifier").isNull()).select("delivery_id", F.lit(False).alias("late")))
     return reduce(DataFrame.unionByName, parts)
