@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import cut_lineage
 from lodestrata.sources.files import Files
 
 UNIT = "unit string, size bigint, checksum bigint"
@@ -117,50 +118,65 @@ def committed_output(spark: SparkSession, manifest: Manifest, output: str) -> Da
     return spark.read.option("basePath", output).parquet(*paths) if paths else None
 
 
+def _cover(low: str, high: str) -> str:
+    """SQL for the dyadic intervals (level, part) that make up [low, high]: at most two a level."""
+    a, b = f"-shiftright(-({low}), k)", f"shiftright({high} + 1, k)"
+    one = (
+        f"filter(array(CASE WHEN {a} < {b} AND {a} & 1 = 1 THEN named_struct('level', k, 'part', {a}) END, "
+        f"CASE WHEN {a} < {b} AND {b} & 1 = 1 THEN named_struct('level', k, 'part', {b} - 1) END), x -> x IS NOT NULL)"
+    )
+    return f"flatten(transform(sequence(0, 62), k -> {one}))"
+
+
+def units_within(listing: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ranges`` (low, high and more) with each ``unit`` of the listing that lies in them.
+
+    An equi-join over dyadic intervals: the work follows the units there are, not the width of the ranges.
+    """
+    parts = ranges.select("*", F.expr(f"inline({_cover('low', 'high')})"))
+    levels = sorted(r.level for r in parts.select("level").distinct().collect())  # 63 at most
+    at = F.explode(F.array(*map(F.lit, levels))) if levels else F.lit(None).cast("int")
+    units = listing.select("unit", at.alias("level")).withColumn("part", F.expr("shiftright(unit, level)"))
+    return units.join(parts, ["level", "part"]).drop("level", "part")
+
+
 def unprocessed_entries(entries: DataFrame, runs: DataFrame, block: int = 8192) -> DataFrame:
     """Entries of a log that none of a consumer's successful runs has processed.
 
     ``entries``: seq (unique), committed_at. ``runs``: consumer, outcome, from_seq (exclusive),
-    to_seq (inclusive), read_at. Blocks of the sequence space are the input units. Each successful
-    run puts its blocks into its consumer's manifest with the size and checksum of the entries that
-    it could see (in its range and committed when it read). A block that stands so now falls out in
-    the anti-join; blocks changed since or seen in part do not, and only these are searched entry
-    by entry. Null outcomes count as not successful, entries without a
-    commit time as never processed, entries without a sequence are left out.
-    Result: consumer, seq.
+    to_seq (inclusive), read_at. Blocks of the sequence space that hold entries are the input units;
+    gaps of any width cost nothing. Each successful run puts its blocks into its consumer's manifest
+    with the size and checksum of the entries that it could see (in its range and committed when it
+    read). A block that stands so now falls out in the anti-join; blocks changed since or seen in
+    part do not, and only these are searched entry by entry. Null outcomes count as not successful,
+    entries without a commit time as never processed, entries without a sequence are left out.
+    Result: consumer, seq. The names of the consumers are collected, nothing else.
     """
     entries = entries.where(F.col("seq").isNotNull()).withColumn("unit", F.floor(F.col("seq") / block))
     content = F.count("*").alias("size"), F.bit_xor(F.xxhash64("seq", "committed_at")).alias("checksum")
-    listing = entries.groupBy("unit").agg(*content)
-    span = entries.agg(F.min("seq"), F.max("seq")).first()
-    if span[0] is None:
-        return runs.select("consumer", F.lit(None).cast("bigint").alias("seq")).limit(0)
-    lowest, highest = span
-    done = (
-        runs.where((F.col("outcome") == "succeeded") & F.col("read_at").isNotNull())
-        .select("consumer", "read_at", "from_seq", "to_seq", F.greatest(F.col("from_seq"), F.lit(lowest - 1)).alias("after"),
-                F.least(F.col("to_seq"), F.lit(highest)).alias("upto"))
-        .where("from_seq IS NOT NULL AND to_seq IS NOT NULL AND after < upto")
-        .select("consumer", "read_at", "after", "upto",
-                F.explode(F.sequence(F.floor((F.col("after") + 1) / block), F.floor(F.col("upto") / block))).alias("unit"))
-        .select("consumer", "unit", "read_at", F.greatest(F.col("after"), F.col("unit") * block - 1).alias("after"),
-                F.least(F.col("upto"), F.col("unit") * block + (block - 1)).alias("upto"))
-        .groupBy("consumer", "unit", "after", "upto").agg(F.max("read_at").alias("read_at"))
+    listing = cut_lineage(entries.groupBy("unit").agg(*content))
+    good = runs.where((F.col("outcome") == "succeeded") & (F.col("from_seq") < F.col("to_seq")) & F.col("read_at").isNotNull() & F.col("consumer").isNotNull())
+    first, last = F.col("from_seq") + 1, F.col("to_seq")
+    ranges = good.select("consumer", "read_at", first.alias("first"), last.alias("last"), F.floor(first / block).alias("low"), F.floor(last / block).alias("high"))
+    inside = units_within(listing.select("unit"), ranges).select(
+        "consumer", "unit", "read_at",
+        F.greatest("first", F.col("unit") * block).alias("first"), F.least("last", F.col("unit") * block + (block - 1)).alias("last"),
     )
+    # Of runs over the same part of a block the one that read last has seen all that the others have.
+    done = cut_lineage(inside.groupBy("consumer", "unit", "first", "last").agg(F.max("read_at").alias("read_at")))
     manifest = (
-        entries.join(done, "unit").where("seq > after AND seq <= upto AND committed_at <= read_at")
-        .groupBy("consumer", "unit", "after", "upto", "read_at").agg(*content)
+        entries.join(done, "unit").where("seq BETWEEN first AND last AND committed_at <= read_at")
+        .groupBy("consumer", "unit", "first", "last", "read_at").agg(*content)
         .select("consumer", "unit", "size", "checksum")
     )
-    consumers = runs.where(F.col("consumer").isNotNull()).select("consumer").distinct()
-    units = consumers.select(
-        "consumer", F.explode(F.sequence(F.lit(lowest // block), F.lit(highest // block))).alias("unit")
-    )
-    open_units = pending_units(units.join(listing, "unit"), manifest, ["consumer"]).select("consumer", "unit")
+    consumers = [r[0] for r in runs.where(F.col("consumer").isNotNull()).select("consumer").distinct().collect()]
+    if not consumers:
+        return entries.select(F.lit(None).cast(runs.schema["consumer"].dataType).alias("consumer"), "seq").limit(0)
+    units = listing.select("*", F.explode(F.array(*map(F.lit, consumers))).alias("consumer"))
+    open_units = pending_units(units, manifest, ["consumer"]).select("consumer", "unit")
     e, d = entries.select("unit", "seq", "committed_at").join(open_units, "unit").alias("e"), done.alias("d")
     covered = (
         (F.col("e.consumer") == F.col("d.consumer")) & (F.col("e.unit") == F.col("d.unit"))
-        & (F.col("e.seq") > F.col("d.after")) & (F.col("e.seq") <= F.col("d.upto"))
-        & (F.col("e.committed_at") <= F.col("d.read_at"))
+        & F.col("e.seq").between(F.col("d.first"), F.col("d.last")) & (F.col("e.committed_at") <= F.col("d.read_at"))
     )
     return e.join(d, covered, "left_anti").select("consumer", "seq")
