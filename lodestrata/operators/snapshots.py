@@ -33,12 +33,15 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     changed_paths lists the unequal fields of a changed row, '' if the values are not both objects.
     """
     rows = rows.where(F.col("snapshot_seq").isNotNull())
-    single = rows.groupBy(*KEY, "snapshot_seq").agg(F.min("row_value").alias("row_value")).alias("s")
+    # Equal rows of a snapshot, however many, are one before the shuffle; unequal rows of a key meet in the ranged pass.
+    single = rows.select(*KEY, "snapshot_seq", "row_value").distinct().alias("s")
     order = snapshot_order(rows).alias("o")
     placed = single.join(
         order, F.col("s.table_name").eqNullSafe(F.col("o.table_name")) & (F.col("s.snapshot_seq") == F.col("o.snapshot_seq"))
     ).select("s.*", "before", "after")
-    ranged = placed.repartitionByRange(*KEY).sortWithinPartitions(*KEY, "snapshot_seq")
+    ranged = placed.repartitionByRange(*KEY).sortWithinPartitions(*KEY, "snapshot_seq", "row_value")
+    smallest = F.row_number().over(Window.partitionBy(*KEY, "snapshot_seq").orderBy("row_value"))
+    ranged = ranged.withColumn("nth", smallest).where("nth = 1").drop("nth")
     merge = Window.partitionBy(*KEY).orderBy("snapshot_seq")
     event = "struct<snapshot_seq:bigint,change_kind:string,old:string,new:string>"
     here = ranged.select(
