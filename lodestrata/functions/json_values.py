@@ -108,12 +108,27 @@ def _refuse(name):
     raise ValueError(name)
 
 
+def json_loader():
+    """A function from text to the parsed value with numbers as raw text; ValueError for anything but JSON.
+
+    Made once per batch: the decoder is what costs, and it cannot be sent to executors.
+    """
+    decode = json.JSONDecoder(parse_int=_Number, parse_float=_Fraction, parse_constant=_refuse).decode
+
+    def load(text):
+        try:
+            return decode(text)
+        except RecursionError:
+            raise ValueError("nested too deeply") from None
+
+    return load
+
+
 def load_json(text):
-    """The parsed value with numbers as raw text; raises ValueError for anything but JSON."""
-    try:
-        return json.loads(text, parse_int=_Number, parse_float=_Fraction, parse_constant=_refuse)
-    except RecursionError:
-        raise ValueError("nested too deeply") from None
+    """One text parsed (see :func:`json_loader`)."""
+    if not isinstance(text, str):
+        raise TypeError("not a text")
+    return json_loader()(text)
 
 
 def number_text(raw: str) -> str:
@@ -171,80 +186,58 @@ def printable(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def object_leaves(text):
+def object_leaves(text, load):
     """{path: canonical text} of a JSON object without null members; None for any other text."""
     if text is None or "{" not in text:
         return None
-    try:
-        record = load_json(text)
-    except ValueError:
-        return None
-    if not isinstance(record, dict):
-        return None
-    return {path: canonical(value) for path, value in leaves(record) if value is not None}
-
-
-def signed_hash(text: str) -> int:
-    """64-bit xxHash of a text as a signed integer."""
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+    record = parsed_object(text, load)
+    return None if record is None else {path: canonical(value) for path, value in leaves(record) if value is not None}
 
 
-def parsed_object(text):
+def parsed_object(text, load):
     """The parsed JSON object of a text, or None."""
     if text is None:
         return None
     try:
-        record = load_json(text)
+        record = load(text)
     except ValueError:
         return None
     return record if isinstance(record, dict) else None
 
 
-def leaf_types(text) -> list[tuple[str, str | None]]:
-    """(path, type) of every leaf of a JSON object; empty for any other text."""
-    record = parsed_object(text)
-    return [] if record is None else [(printable(path), type_name(value)) for path, value in dict(leaves(record)).items()]
-
-
 _TEXT = T.StringType()
-_LEAF = T.StructType().add("path", _TEXT).add("value_hash", T.LongType())
-
 
-@F.pandas_udf(T.ArrayType(_LEAF))
-def leaf_hashes(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Value hashes of the wanted paths that a JSON object holds a non-null value under."""
 
-    def one(text, paths):
-        record = parsed_object(text)
-        if record is None:
-            return []
-        found = {printable(path): value for path, value in leaves(record) if value is not None}
-        return [(path, signed_hash(canonical(found[path]))) for path in paths if path in found]
+def signed_hash(text: str) -> int:
+    """64-bit xxHash of a text as a signed integer."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-    return pd.Series([one(t, w) for t, w in zip(texts, wanted)], dtype=object)
 
+def leaf_hashes(record: dict):
+    """(path, type, hash of the value or None) of every leaf of an object; equal values have equal hashes."""
+    for path, value in dict(leaves(record)).items():
+        text = "s" + value if type(value) is str else canonical(value)
+        yield printable(path), type_name(value), None if value is None else signed_hash(text)
 
-def _value_hash(text):
-    if text is None:
-        return 0
-    fields = object_leaves(text)
-    if fields is None:
-        return signed_hash("t" + text)
-    return signed_hash("o" + "\x1e".join(f"{path}\x1f{value}" for path, value in sorted(fields.items())))
 
+def text_hash(text: Column) -> Column:
+    """A hash in built-in expressions that differs wherever values differ by fields or, if no objects, by text.
 
-@F.pandas_udf(T.LongType())
-def value_hash(texts: pd.Series) -> pd.Series:
-    """A hash that is equal for values that are equal by fields (or by text, if no object)."""
-    return texts.map(_value_hash).astype("int64")
+    The spelling of most objects does not matter: they are hashed as variants, which sort members and
+    reduce decimals. Texts with exponents or very long numbers, which a variant may round, repeated
+    members or a null are hashed so that equal values may get different hashes, never the reverse.
+    """
+    exact = text.rlike(r"^\s*\{") & ~text.rlike(r"[0-9][eE][-+0-9]|[0-9.]{17,}")
+    spelled = F.to_json(F.try_parse_json(F.when(exact, F.concat(F.lit("["), text, F.lit(",null]")))))
+    return F.xxhash64(F.coalesce(F.concat(F.lit("v"), spelled), F.concat(F.lit("t"), text)))
 
 
-def unequal_paths(left, right):
+def unequal_paths(left, right, load):
     """Paths on which two values differ; [''] if they differ and are not both objects."""
     if left == right:
         return []
-    a, b = object_leaves(left), object_leaves(right)
+    a, b = object_leaves(left, load), object_leaves(right, load)
     if a is None or b is None:
         return [""]
     return sorted(printable(path) for path in a.keys() | b.keys() if a.get(path) != b.get(path))
@@ -253,16 +246,14 @@ def unequal_paths(left, right):
 @F.pandas_udf(T.ArrayType(_TEXT))
 def differing_paths(left: pd.Series, right: pd.Series) -> pd.Series:
     """Arrow-batched :func:`unequal_paths`."""
-    return pd.Series([unequal_paths(a, b) for a, b in zip(left, right)], dtype=object)
+    load = json_loader()
+    return pd.Series([unequal_paths(a, b, load) for a, b in zip(left, right)], dtype=object)
 
 
-def _plain_leaves(text):
+def _plain_leaves(text, load):
     """{path: raw text} of one JSON object, for rewriting it into a consistent record."""
-    try:
-        record = load_json(text)
-    except (ValueError, TypeError):
-        return None
-    if not isinstance(record, dict):
+    record = parsed_object(text, load)
+    if record is None:
         return None
     return {
         printable(path): None if value is None
@@ -275,7 +266,8 @@ def _plain_leaves(text):
 @F.pandas_udf(T.MapType(_TEXT, _TEXT))
 def plain_leaves(texts: pd.Series) -> pd.Series:
     """Leaf paths to raw text; NULL for text that is no JSON object."""
-    return texts.map(_plain_leaves)
+    load = json_loader()
+    return pd.Series([_plain_leaves(t, load) for t in texts], dtype=object)
 
 
 def _skip(text: str, at: int) -> int:
@@ -297,12 +289,12 @@ def raw_member(text: str, name: str) -> str | None:
     return found
 
 
-def raw_comparable(text: str | None, path: str) -> str | None:
+def raw_comparable(text: str | None, path: str, load) -> str | None:
     """What :func:`strict_comparable` gives for one text."""
     if text is None or not path:
         return text
     try:
-        value = load_json(text)
+        value = load(text)
     except ValueError:
         return None
     raw = text
@@ -321,7 +313,8 @@ def raw_comparable(text: str | None, path: str) -> str | None:
 @F.pandas_udf(_TEXT)
 def strict_comparable(texts: pd.Series, paths: pd.Series) -> pd.Series:
     """Comparable text with objects and arrays as they are written. NULL for a missing path or broken JSON."""
-    return pd.Series([raw_comparable(t, p) for t, p in zip(texts, paths)], dtype=object)
+    load = json_loader()
+    return pd.Series([raw_comparable(t, p, load) for t, p in zip(texts, paths)], dtype=object)
 
 
 ship(__name__)

@@ -1,9 +1,9 @@
 """Differences between two copies of keyed, versioned data by invertible Bloom lookup tables.
 
-Each copy is reduced to its live newest rows; of each only a 64-bit key hash and a 64-bit hash of
-the value (equal for values that are equal by fields) enter the tables. Per bucket of keys the two
-copies' tables are subtracted cell by cell, which cancels all equal rows; the rest is peeled to the
-keys that differ. Only rows of those keys are fetched again and compared field by field.
+Each row is hashed where it is read, to 64 bits for the key and 64 for the value (different for values
+that differ), and only hashes are shuffled to find the live newest rows, which enter the tables. Per
+bucket of keys the two copies' tables are subtracted cell by cell, which cancels all equal rows; the
+rest is peeled to the keys that differ. Only rows of those keys are fetched and compared field by field.
 
 The table size follows an estimate of the number of differences on a fixed hash stratum. Buckets
 that cannot be peeled are built again four times as large; if that fails twice, all keys of
@@ -11,7 +11,7 @@ the bucket are fetched, so no difference is lost. Hash collisions of unequal val
 are the only way to miss one.
 
 Null keys and tables are values of their own; rows without a sequence lose to any with one; among
-rows with equal sequence the larger (is_deleted, value) counts; a null is_deleted means live.
+rows with equal sequence the larger (is_deleted, value hash) counts; a null is_deleted means live.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import differing_paths, value_hash
+from lodestrata.functions.json_values import differing_paths, text_hash
 from lodestrata.session import cut_lineage, ship
 
 KEY = ["table_name", "row_key"]
@@ -92,16 +92,20 @@ def peel(cell, count, key, row, element, cells):
     return (np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)), clean
 
 
+def _version(*more: str) -> Column:
+    """What orders the versions of a key, and ``more`` to take along."""
+    return F.struct("seq", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"), text_hash(F.col("row_value")).alias("row_hash"), *more)
+
+
 def newest_rows(copy: DataFrame) -> DataFrame:
-    """The row with the highest sequence of each key: table_name, row_key, seq, is_deleted, row_value."""
-    deleted = F.coalesce("is_deleted", F.lit(False)).alias("is_deleted")
-    return copy.groupBy(*KEY).agg(F.max(F.struct("seq", deleted, "row_value")).alias("r")).select(*KEY, "r.*")
+    """The row with the highest sequence of each key: table_name, row_key, seq, is_deleted, row_hash, row_value."""
+    return copy.groupBy(*KEY).agg(F.max(_version("row_value")).alias("r")).select(*KEY, "r.*")
 
 
 def sketch_rows(copy: DataFrame, side: int) -> DataFrame:
-    """key_id, row_hash, side of every live newest row."""
-    live = newest_rows(copy).where(~F.col("is_deleted"))
-    return live.select(F.xxhash64(*KEY).alias("key_id"), value_hash("row_value").alias("row_hash")).withColumn("side", F.lit(side))
+    """key_id, row_hash, side of every live newest row; keys and values are hashed before they are shuffled."""
+    newest = copy.select(F.xxhash64(*KEY).alias("key_id"), _version().alias("r")).groupBy("key_id").agg(F.max("r").alias("r"))
+    return newest.where(~F.col("r.is_deleted")).select("key_id", "r.row_hash", F.lit(side).alias("side"))
 
 
 def subtracted_tables(elements: DataFrame, buckets: int, cells: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import change_feed, copydiff, drift, exactly_once, incremental, nested, snapshots
+from lodestrata.session import scratch_path
 
 #: The arrays of each nested table.
 NESTED = {
@@ -19,17 +20,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[drift.SchemaRegistry, DataFrame]:
+    rows = _table(spark, sf_dir, "kv_files")
+    registry = drift.SchemaRegistry(spark, scratch_path(spark, "registry"))
+    registry.add(rows)
+    return registry, rows
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.migration_steps(_table(spark, sf_dir, "kv_files"))
+    return _registry(spark, sf_dir)[0].steps()
 
 
 def p1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = drift.schema_versions(drift.file_schemas(_table(spark, sf_dir, "kv_files")))
+    versions = _registry(spark, sf_dir)[0].versions()
     return versions.select("table_name", "version", "fingerprint", "files", "first_file_id", F.size("fields").alias("n_fields"))
 
 
 def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.consistent_table(_table(spark, sf_dir, "kv_files"))
+    """One row per row and field, so that SQL can compare them."""
+    registry, rows = _registry(spark, sf_dir)
+    found = drift.consistent_rows(rows, registry)
+    return found.select("table_name", "file_id", "row_key", F.inline("fields"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +49,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "change_log")
-    entries = log.where(F.col("seq").isNotNull()).groupBy("seq").agg(
-        F.min(F.struct("delivery_id", "committed_at")).alias("first")
-    ).select("seq", "first.committed_at")
+    entries = log.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.min_by("committed_at", "delivery_id").alias("committed_at"))
     return incremental.unprocessed_entries(entries, _table(spark, sf_dir, "run_log"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions.json_values import text_hash
 from lodestrata.operators import change_feed, copydiff, drift, exactly_once, incremental, nested, snapshots
 from lodestrata.queries import data_problems as q
 
@@ -60,7 +61,7 @@ def test_p3_p5_p7_found(spark, sf_dir):
 FILES = "table_name string, file_id long, written_at timestamp_ntz, row_key string, row_value string, fields int"
 
 
-def test_drift_odd_cases(spark):
+def test_drift_odd_cases(spark, tmp_path):
     import datetime
 
     day = [datetime.datetime(2025, 1, d) for d in range(1, 6)]
@@ -76,12 +77,70 @@ def test_drift_odd_cases(spark):
         ("t", 2, "renamed", "y", "x"), ("t", 3, "renamed", "z", "y"), ("t", 3, "retyped", "k", ""), ("t", 3, "added", "z2", ""),
         ("t", 4, "removed", "z", ""), ("t", 4, "removed", "k", ""), ("t", 4, "removed", "z2", ""), (None, 10, "added", "n", ""),
     }
-    table = drift.consistent_table(rows.where("table_name = 't'"))
+    registry = drift.SchemaRegistry(spark, str(tmp_path / "r"))
+    registry.add(rows)
+    table = drift.consistent_rows(rows, registry).select("file_id", "row_key", F.inline("fields"))
     flat = {(r.file_id, r.row_key, r.field_path): (r.value, r.cast_failed) for r in table.collect()}
     assert flat[1, "a", "z"] == ("1", False) and flat[2, "b", "z"] == ("2", False)
     assert flat[1, "a", "k"] == ("u", True) and flat[3, "a", "k"] == ("5", False) and flat[3, "c", "k"] == (None, False)
+    assert flat[10, None, "n"] == ("true", False) and flat[9, None, "n"] == (None, False)
     assert drift.migration_steps(rows.limit(0)).count() == 0
     assert drift.schema_versions(drift.file_schemas(rows)).where("table_name = 't'").count() == 4
+    assert rows_of(registry.steps(), "table_name", "file_id", "change_kind", "field_path", "old_path") == got
+
+
+def _files(spark, *files):
+    """Files of table t in order; each a dict of row keys to JSON."""
+    import datetime
+
+    data = [("t", n, datetime.datetime(2025, 1, 1, n), k, v, 0) for n, file in enumerate(files) for k, v in file.items()]
+    return spark.createDataFrame(data, FILES)
+
+
+def test_names_that_end_and_come_back(spark, tmp_path):
+    """b is b, ends, then a is renamed to b; c ends and comes back as another field."""
+    rows = _files(
+        spark, {"x": '{"a": 1, "b": 7, "c": "old"}', "y": '{"a": 2, "b": 8, "c": "old"}'}, {"x": '{"a": 1}', "y": '{"a": 2}'},
+        {"x": '{"b": 1, "c": 5}', "y": '{"b": 2, "c": 6}'},
+    )
+    registry = drift.SchemaRegistry(spark, str(tmp_path / "r"))
+    registry.add(rows)
+    found = drift.consistent_rows(rows, registry, {"b": "0"}).select("file_id", "row_key", F.inline("fields")).collect()
+    assert len(found) == len({(r.file_id, r.row_key, r.field_path, r.since) for r in found}) == 6 * 4
+    value = {(r.file_id, r.row_key, r.field_path, r.since): r.value for r in found}
+    assert [value[n, "x", "b", 3] for n in range(3)] == ["1", "1", "1"] and [value[n, "x", "b", 1] for n in range(3)] == ["7", "0", "0"]
+    assert [value[n, "y", "c", 3] for n in range(3)] == [None, None, "6"] and [value[n, "y", "c", 1] for n in range(3)] == ["old", None, None]
+    wide = drift.consistent_table(rows, registry, "t")
+    assert dict(wide.dtypes)["b"] == "bigint" and dict(wide.dtypes)["c@1"] == "string"
+    assert {(r.file_id, r.row_key): (r.b, r["b@1"], r.c, r["c@1"]) for r in wide.collect()}[1, "y"] == (2, None, None, None)
+
+
+def test_renames_in_a_cycle_and_a_chain(spark, tmp_path):
+    rows = _files(spark, *[{"x": f'{{"{n}": 1, "k": {i}}}', "y": f'{{"{n}": 2, "k": {i}}}'} for i, n in enumerate("abcabd")])
+    registry = drift.SchemaRegistry(spark, str(tmp_path / "r"))
+    registry.add(rows)
+    assert {r.field_path for r in registry.steps().where("change_kind = 'renamed'").collect()} == set("abcd")
+    found = drift.consistent_rows(rows, registry).select("file_id", "row_key", F.inline("fields")).where("field_path <> 'k'").collect()
+    assert {(r.field_path, r.row_key, r.value) for r in found} == {("d", "x", "1"), ("d", "y", "2")} and len(found) == 12
+
+
+def test_the_registry_profiles_only_new_files(spark, tmp_path, monkeypatch):
+    files = [{"x": '{"a": 1}'}, {"x": '{"b": 1}'}, {"x": '{"c": 1, "n": 5}'}, {"x": '{"c": 1, "m": 5}'}]
+    rows = _files(spark, *files)
+    registry, parsed = drift.SchemaRegistry(spark, str(tmp_path / "r")), []
+
+    def leaves(part, read=drift.row_leaves):
+        parsed.append({r.file_id for r in part.select("file_id").distinct().collect()})
+        return read(part)
+
+    monkeypatch.setattr(drift, "row_leaves", leaves)
+    registry.add(rows.where("file_id IN (0, 2)"))
+    registry.add(rows.where("file_id IN (0, 2, 3)"))
+    registry.add(rows)  # file 1 arrives late, between 0 and 2
+    registry.add(rows)
+    assert parsed == [{0, 2}, {3}, {2}, {1}, {0, 2}, set(), set()]
+    got = rows_of(registry.steps(), "file_id", "change_kind", "field_path", "old_path")
+    assert got == rows_of(drift.migration_steps(rows), "file_id", "change_kind", "field_path", "old_path") and len(got) == 4
 
 
 def test_nested_odd_cases(spark):
@@ -238,3 +297,22 @@ def test_malformed_identifiers(spark):
     )
     assert rows_of(got.where("late"), "delivery_id") == {(2,), (5,), (9,)}
     assert got.count() == len(data)
+
+
+def test_value_hashes_differ_where_values_do(spark):
+    groups = [
+        ['{"a": 1.0, "b": [1, 2]}', '{"b":[1,2],"a":1}'], ['{"a": 2}'], ['{"a": "1"}'], ['{"a": 1e2}'], ['{"a": 100000000000000000000000000000000000000001e1}'],
+        ['{"a": 100000000000000000000000000000000000000002e1}'], ['{"a": 1} x'], ['{"a": 1}'], ["1"], ["1.0"], ["[1]"], ["[1.0]"], ["1], [2"], ['{"a": 1}], [{}'], [""], [None], ["x"],
+    ]
+    rows = [(i, v) for i, g in enumerate(groups) for v in g]
+    got = spark.createDataFrame(rows, "g int, v string").select("g", text_hash(F.col("v")).alias("h")).distinct().collect()
+    assert len(got) == len({r.h for r in got}) == len(groups)
+
+
+def test_changes_that_hash_alike_are_no_differences(spark):
+    schema = "seq long, table_name string, row_key string, row_value string, is_deleted boolean"
+    a = spark.createDataFrame([(1, "t", str(i), '{"p": 1e2, "q": null, "r": 1}', False) for i in range(50)], schema)
+    b = spark.createDataFrame([(1, "t", str(i), '{"r": 1.00, "p": 100}', False) for i in range(50)], schema)
+    assert copydiff.compare_copies(a, b).count() == 0
+    two = a.unionAll(a.withColumn("row_value", F.lit('{"p": 3}')))
+    assert copydiff.compare_copies(two, two).count() == 0 and copydiff.compare_copies(two, a).where("finding <> 'differs'").count() == 0

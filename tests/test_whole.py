@@ -1,6 +1,7 @@
 """Queries that must give every row of their job, at sizes where a cut would show."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators import exactly_once, incremental
 from lodestrata.queries import data_problems, engine_queries
@@ -59,3 +60,25 @@ def test_the_manifest_holds_what_a_run_could_see(spark, monkeypatch):
     sizes = [{(r.consumer, r.unit): r["size"] for r in rows.collect()} for rows in taken]
     # The block with the late entry stands in the manifest as it was; the anti-join finds that it changed.
     assert sizes == [{("a", 0): 4, ("a", 1): 2}, {("a", 0): 3, ("a", 1): 2}]
+
+
+def test_ranges_of_any_width_cost_what_there_is(spark):
+    entries = spark.createDataFrame([(1, 10), (10**17, 10), (-(10**15), 10), (5, 99)], "seq long, committed_at long")
+    runs = spark.createDataFrame([("a", "succeeded", 0, 10**18, 50), ("b", "succeeded", -(10**16), 4, 50), ("c", "failed", 0, 1, 1)], "consumer string, outcome string, from_seq long, to_seq long, read_at long")
+    got = {tuple(r) for r in incremental.unprocessed_entries(entries, runs).collect()}
+    assert got == {("a", -(10**15)), ("a", 5), ("b", 10**17), ("b", 5), ("c", 1), ("c", 10**17), ("c", -(10**15)), ("c", 5)}
+
+
+def test_dyadic_cover_is_exact(spark):
+    units = spark.range(-40, 200).select(F.col("id").alias("unit"))
+    ranges = [(a, b) for a in (-33, -1, 0, 1, 7, 64, 150) for b in (-20, 0, 1, 8, 63, 100, 300) if a <= b]
+    got = incremental.units_within(units, spark.createDataFrame(ranges, "low long, high long")).collect()
+    want = sorted((a, b, u) for a, b in ranges for u in range(-40, 200) if a <= u <= b)
+    assert sorted((r.low, r.high, r.unit) for r in got) == want
+
+
+def test_without_the_ranges_nothing_is_late_across_batches(spark, sf_dir, monkeypatch):
+    """Rows come from the ranges: if these are left out, deliveries of later batches slip through."""
+    whole = data_problems.p7_found(spark, sf_dir).count()
+    monkeypatch.setattr(exactly_once, "uncovered", lambda numbers, seen, chunk=0: numbers)
+    assert data_problems.p7_found(spark, sf_dir).count() < whole
