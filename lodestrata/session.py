@@ -63,6 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as a written table in the shared folder: cuts lineage, compressed, and read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     """Hint a broadcast only where a counted size is under the bound; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= most_rows else df
