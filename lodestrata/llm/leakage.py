@@ -1,8 +1,11 @@
 """Held-out test items leaking into a corpus, by template windows and slot consistency.
 
 Texts become words (runs of letters and digits; case, punctuation, underscores, written-out
-escapes and markup signs fall away). For the search, numbers, units and names become typed
-placeholders; windows of one to three template words of the items are kept in a sorted table and
+escapes and markup signs fall away). For the search, numbers (anything that begins with a digit and
+number words), units and names become typed placeholders. Names are the words that items spell with
+a capital inside a sentence and some common ones, in any case; in documents also capitalised words
+that no item has, so that a question asked about somebody else is found. All this only widens what
+matches. Windows of one to three template words of the items are kept in a sorted table and
 every window of every document is looked up in it. The window length per item is such that any
 match must share a window with it, and how many, is known from the number of words that may be
 altered, so the lookup loses nothing. Found (document, item) pairs are then judged on
@@ -13,8 +16,10 @@ the words themselves:
 * ``reparameterised``: as ``whole`` for the template, where each slot value of the item stands for
   one and the same other value throughout (slot consistency).
 
-Items are broadcast in blocks of at most ``items_per_block``, each block against all documents in
-one pass without a shuffle; a document of any length is handled by one task in linear time.
+Items are broadcast in blocks of at most ``block_bytes`` of text (one longer item is a block of its
+own), each block against all documents in one pass without a shuffle; a document of any length is
+handled by one task in linear time. Window keys are 64-bit hashes of word numbers: a collision adds a
+candidate, which is then judged, and never loses one, so any number of items and words will do.
 
 Null texts and texts without words match nothing. Copies of a document count by themselves,
 repeated rows once. Items of one or two words must occur whole.
@@ -38,11 +43,12 @@ NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 )
-UNITS = frozenset(
-    "mm cm km metre metres meter meters kilometre kilometres kilometer kilometers inch inches foot feet mile miles "
-    "mg kg gram grams kilogram kilograms tonne tonnes pound pounds ounce ounces ml litre litres liter liters "
-    "second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees "
-    "dollar dollars euro euros cent cents volt volts watt watts joule joules newton newtons hertz".split()
+_MEASURES = "metre meter gram litre liter watt volt joule newton hertz second byte bit ampere ohm pascal kelvin mole lumen lux tesla farad henry calorie".split()
+_PREFIXES = ["", *"kilo mega giga tera milli micro nano pico centi deci hecto".split()]
+UNITS = frozenset(p + m + s for p in _PREFIXES for m in _MEASURES for s in ("", "s")) | frozenset(
+    "mm cm km mg kg ml kb mb gb tb kw kwh mw hz khz mhz ghz kpa nm inch inches foot feet yard yards mile miles acre acres hectare hectares tonne tonnes ton tons "
+    "pound pounds ounce ounces gallon gallons pint pints minute minutes hour hours day days week weeks month months year years percent degree degrees celsius fahrenheit "
+    "radian radians dollar dollars euro euros cent cents yen knot knots mph kph rpm".split()
 )
 NAMES = frozenset(
     "alice bob carol dave eve frank grace heidi james john mary robert michael william david richard joseph thomas "
@@ -50,6 +56,8 @@ NAMES = frozenset(
 )
 
 _WORD = re.compile(r"[^\W_]+")
+_CAPITALISED = re.compile(r"(?<![^\W_])[A-Z][a-z]+(?![^\W_])")
+_INSIDE = re.compile(r"(?<=[^\W_][ ,;:] )[A-Z][a-z]+(?![^\W_])|(?<=[^\W_] )[A-Z][a-z]+(?![^\W_])")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-f]{4}|x[0-9a-f]{2}|[nrtfvb0])")
 
 
@@ -75,13 +83,18 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def template(word: str) -> str:
+def template(word: str, names=NAMES) -> str:
     """The word, or the placeholder of its type."""
-    if word in NUMBERS or word.isdigit():
+    if word in NUMBERS or word[0].isdigit():
         return "<number>"
     if word in UNITS:
         return "<unit>"
-    return "<name>" if word in NAMES else word
+    return "<name>" if word in names else word
+
+
+def names_in(text: str | None) -> set[str]:
+    """Words that a text spells with a capital inside a sentence."""
+    return {w.lower() for w in _INSIDE.findall(text or "")}
 
 
 def window_length(n: int, altered: float) -> int:
@@ -103,21 +116,24 @@ class ItemIndex:
     def __init__(self, items: list[tuple], run: int, altered: float):
         self.run, self.altered = run, altered
         self.ids, self.words = [], []
+        names = set(NAMES)
         for item_id, text in items:
             found = words(text)
             if found:
                 self.ids.append(item_id)
                 self.words.append(found)
+                names |= names_in(text)
         #: Word numbers: 0 stands for every word that no item has.
         self.number: dict[str, int] = {}
         for item in self.words:
             for word in item:
-                self.number.setdefault(template(word), len(self.number) + 1)
-        for word in NUMBERS | UNITS | NAMES:
-            if template(word) in self.number:
-                self.number[word] = self.number[template(word)]
-        self.digits = self.number.get("<number>", 0)
-        self.base = len(self.number) + 1
+                self.number.setdefault(template(word, names), len(self.number) + 1)
+        #: Numbers of the placeholders; words of their types get the same.
+        self.digits, self.unit, self.name = (self.number.get(p, 0) for p in ("<number>", "<unit>", "<name>"))
+        for kind, of in ((self.digits, NUMBERS), (self.unit, UNITS), (self.name, names)):
+            if kind:
+                self.number.update((w, kind) for w in of if template(w, names) in self.number and self.number[template(w, names)] == kind)
+        self.slots = {self.digits, self.unit, self.name} - {0}
         self.needed = np.array([needed_windows(len(x), run, altered) for x in self.words], np.int64)
         self.length = np.array([len(x) for x in self.words], np.int64)
         self.templates = [self.numbers_of(x) for x in self.words]
@@ -126,7 +142,7 @@ class ItemIndex:
             keys, owners = [], []
             for k, item in enumerate(self.templates):
                 if window_length(len(item), altered) == w:
-                    keys.append(self.keys(item, w))
+                    keys.append(self.keys(item, w)[0])
                     owners.append((np.full(len(item) - w + 1, k, np.int64) << 32) + np.arange(len(item) - w + 1))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(keys, kind="stable")
@@ -138,22 +154,27 @@ class ItemIndex:
             for i in range(len(item) - run + 1):
                 self.runs.setdefault(tuple(item[i : i + run]), set()).add(k)
 
-    def numbers_of(self, found: list[str]) -> np.ndarray:
+    def numbers_of(self, found: list[str], text: str | None = None) -> np.ndarray:
+        """Template numbers of words; with their ``text``, capitalised words that no item has are names."""
         get, digits = self.number.get, self.digits
         ids = [get(w, 0) for w in found]
         if digits:
-            ids = [digits if not i and w.isdigit() else i for i, w in zip(ids, found)]
+            ids = [digits if not i and w[0].isdigit() else i for i, w in zip(ids, found)]
+        if self.name and text:
+            capitalised = {w.lower() for w in _CAPITALISED.findall(text)}
+            ids = [self.name if not i and w in capitalised else i for i, w in zip(ids, found)]
         return np.array(ids, np.int64)
 
-    def keys(self, ids: np.ndarray, w: int) -> np.ndarray:
-        """One exact number per window; -1 where a word is unknown (three word numbers fit 63 bits)."""
-        n = len(ids) - w + 1
-        key, known = np.zeros(n, np.int64), np.ones(n, bool)
+    def keys(self, ids: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash per window, and whether all its words are known."""
+        n = max(0, len(ids) - w + 1)
+        key, known = np.zeros(n, np.uint64), np.ones(n, bool)
         for j in range(w):
             part = ids[j : j + n]
-            key = key * self.base + part
+            key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
             known &= part > 0
-        return np.where(known, key, -1)
+        return key, known
 
     def candidates(self, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """{item: (document positions, item positions)} of items with enough windows in common."""
@@ -161,8 +182,8 @@ class ItemIndex:
         for w, (unique, start, count, owners) in self.tables.items():
             if len(ids) < w:
                 continue
-            keys = self.keys(ids, w)
-            at = np.nonzero(keys >= 0)[0]
+            keys, known = self.keys(ids, w)
+            at = np.nonzero(known)[0]
             if not len(at):
                 continue
             slot = np.searchsorted(unique, keys[at])
@@ -218,10 +239,18 @@ class ItemIndex:
             if least_edits(exact, there)[0] <= edits:
                 return "whole"
             distance, end = least_edits(self.templates[k], ids[a:b])
-            if distance <= edits and consistent_slots(item, found[a:b][max(0, end - len(item) - edits) : end], self.templates[k], self):
+            low = a + max(0, end - len(item) - edits)
+            if distance <= edits and self.consistent(k, found[low : a + end], ids[low : a + end]):
                 best = "reparameterised"
         return best
 
+    def consistent(self, k: int, part: list[str], part_ids: np.ndarray) -> bool:
+        """Whether each slot value of the item meets one value only, in order of the slots."""
+        theirs = [(w, i) for w, i in zip(part, part_ids.tolist()) if i in self.slots]
+        ours = [(w, i) for w, i in zip(self.words[k], self.templates[k].tolist()) if i in self.slots]
+        bound: dict[str, str] = {}
+        return len(ours) == len(theirs) and all(i == j and bound.setdefault(a, b) == b for (a, i), (b, j) in zip(ours, theirs))
+
     def stretches(self, k: int, found: list[str], ids: np.ndarray, regions: list[tuple[int, int]]):
         """The words (from, to) of a document that are item k: its passages, and the whole item however altered."""
         item = self.words[k]
@@ -236,13 +265,13 @@ class ItemIndex:
             for low, high in occurrences(exact, there, edits):
                 yield a + low, a + high
             for low, high in occurrences(self.templates[k], ids[a:b], edits):
-                if consistent_slots(item, found[a + low : a + high], self.templates[k], self):
+                if self.consistent(k, found[a + low : a + high], ids[a + low : a + high]):
                     yield a + low, a + high
 
     def without(self, text: str | None) -> str | None:
         """The text with a blank for each stretch that is an item; the same words elsewhere stay."""
         found = words(text)
-        ids = self.numbers_of(found)
+        ids = self.numbers_of(found, text)
         if np.count_nonzero(ids) < self.least:
             return text
         gone = sorted(
@@ -262,7 +291,7 @@ class ItemIndex:
     def search(self, text: str | None) -> list[tuple]:
         """(item id, kind) of every item found in a document."""
         found = words(text)
-        ids = self.numbers_of(found)
+        ids = self.numbers_of(found, text)
         if np.count_nonzero(ids) < self.least:
             return []
         out = []
@@ -311,29 +340,45 @@ def occurrences(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[in
     return out
 
 
-def consistent_slots(item: list[str], part: list[str], item_template: np.ndarray, index: ItemIndex) -> bool:
-    """Whether each slot value of the item meets one value only, in order of the slots."""
-    theirs = [w for w in part if template(w) != w]
-    ours = [w for w, n in zip(item, item_template) if template(w) != w]
-    if len(ours) != len(theirs):
-        return False
-    bound: dict[str, str] = {}
-    return all(template(a) == template(b) and bound.setdefault(a, b) == b for a, b in zip(ours, theirs))
+def item_blocks(items: DataFrame, block_bytes: int, run: int, altered: float):
+    """Indexes of the items (item_id, item_text) in blocks of a bounded size of text, one at a time.
+
+    Blocks are made from the sizes alone, which are summed per hash; only one block's texts are on the driver at once.
+    """
+    sized = items.select("item_id", "item_text", F.pmod(F.xxhash64("item_text"), F.lit(1 << 12)).alias("part"), F.octet_length("item_text").alias("bytes"))
+    parts = sized.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect()  # 4,096 rows at most
+    low, total = 0, 0
+    bounds = []
+    for r in parts:
+        if total and total + r["bytes"] > block_bytes:
+            bounds.append((low, r["part"] - 1))
+            low, total = r["part"], 0
+        total += r["bytes"]
+    bounds.append((low, (1 << 12) - 1))
+    for first, last in bounds:
+        rows = sized.where(F.col("part").between(first, last)).select("item_id", "item_text").collect()
+        yield ItemIndex([tuple(r) for r in rows], run, altered)
+
+
+#: Bytes of item texts in one broadcast index.
+BLOCK_BYTES = 16 << 20
+
+
+def clean_items(items: DataFrame) -> DataFrame:
+    """The distinct items with a text."""
+    return items.select("item_id", "item_text").where(F.col("item_text").isNotNull()).distinct()
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 10, altered: float = 0.25, items_per_block: int = 50_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 10, altered: float = 0.25, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, kind of every item found in a document (kinds as in the module text).
 
     ``documents``: doc_id and text; ``items``: item_id and item_text. Other columns are ignored.
     """
     spark = documents.sparkSession
-    items = items.select("item_id", "item_text").where(F.col("item_text").isNotNull()).distinct()
-    blocks = max(1, -(-items.count() // items_per_block))
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, kind string"
     found = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == block).collect()
-        shared = share(spark, ItemIndex([tuple(r) for r in rows], run, altered))
+    for index in item_blocks(clean_items(items), block_bytes, run, altered):
+        shared = share(spark, index)
 
         def search(batches, shared=shared):
             index = pickle.loads(shared.value)

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from lodestrata.session import broadcast_if_small, cut_lineage, ship
 
+#: Where the vocabulary is unless ``spark.lodestrata.tokenizer`` says otherwise; read on the driver only.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,8 +35,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TARGETS = 10_000
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, tokens: whole texts, counted by Arrow batches; the vocabulary is broadcast."""
+    tokenizer = tokenizer or documents.sparkSession.conf.get("spark.lodestrata.tokenizer", TOKENIZER)
     with open(tokenizer, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
@@ -91,17 +93,20 @@ def budgets(counts: DataFrame, targets: DataFrame, refill: bool = False) -> Data
     ).withColumn("cap", F.col("available") * F.col("repeats"))
     t = t.withColumn("budget", F.least(F.col("target_share") * F.col("wanted"), F.col("cap").cast("double")))
     if refill:
-        # Each pass fills at least one more source to its cap; the number of sources bounds the passes.
-        for _ in range(t.groupBy("mix_name").count().agg(F.max("count")).first()[0] or 0):
-            room = F.when(F.col("budget") < F.col("cap"), F.col("target_share")).otherwise(0.0)
-            lack = F.max("wanted").over(mix) - F.sum("budget").over(mix)
-            rooms = F.sum(room).over(mix)
-            t = t.withColumn("budget", F.least(F.col("budget") + F.when(rooms > 0, lack * room / rooms).otherwise(0.0), F.col("cap").cast("double")))
-        t = cut_lineage(t)
+        # Sources fill up in order of cap by share: each one that reaches its cap leaves the rest of the
+        # size to those after it, which share it by weight. One sorted pass finds where that ends.
+        share, cap = F.col("target_share"), F.col("cap").cast("double")
+        order = Window.partitionBy("mix_name").orderBy(F.when(share > 0, cap / share).asc_nulls_last(), "source")
+        before = F.coalesce(F.sum(F.when(share > 0, cap)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum(share).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        t = t.withColumn("full", (share > 0) & (cap * rest <= (F.col("wanted") - before) * share))
+        taken, open_ = F.sum(F.when(F.col("full"), cap)).over(mix), F.sum(F.when(~F.col("full"), share)).over(mix)
+        level = (F.col("wanted") - F.coalesce(taken, F.lit(0.0))) / open_
+        t = t.withColumn("budget", F.when(F.col("full"), cap).when(share > 0, F.least(cap, level * share)).otherwise(0.0)).drop("full")
     return t
 
 
-def draw(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER, buckets: int = 4096, refill: bool = False) -> tuple[DataFrame, DataFrame]:
+def draw(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str | None = None, buckets: int = 4096, refill: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mix_name, source, doc_id, tokens, copies) and the budget of each mix and source.
 
     The document at the cut is taken if more than half of it is within the budget, so a source

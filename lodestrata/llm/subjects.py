@@ -1,7 +1,7 @@
 """Subject areas of documents: complement naive Bayes, refined by EM, with calibrated posteriors.
 
-Words are the parts of names, comments and literals (camel case and underscores split, at least
-three letters), hashed into a fixed number of slots, so that the model has a bound whatever the
+Words are the parts of names, comments and literals in any script (camel case and underscores split, at
+least three letters, two in scripts without case), hashed into a fixed number of slots, so that the model has a bound whatever the
 corpus. The evidence of a word for a subject is its probability in the subject against that in the
 complement of the subject (all other subjects and the background). Training starts from labelled
 documents on the driver (a bounded sample); EM over all documents then re-estimates the counts:
@@ -26,11 +26,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.leakage import ItemIndex
-from lodestrata.session import cut_lineage, share, ship
+from lodestrata.llm.leakage import BLOCK_BYTES, item_blocks
+from lodestrata.session import share, ship, stored
 
 SLOTS = 1 << 18
 #: Most labelled documents the first model and the calibration are fitted on.
@@ -42,41 +43,60 @@ BACKGROUND = 4.0
 #: What of a foreign text is left out: so many words in a row, or the whole with such a share altered.
 RUN, ALTERED = 10, 0.25
 
+#: Most subjects: the word sums are SLOTS times as many numbers, on the driver and in every worker.
+SUBJECTS = 1000
+
 _PART = re.compile(r"[A-Z]{3,}(?![a-z])|[A-Z]?[a-z]{2,}[a-z]*")
+#: The same for texts beyond ASCII.
+_WIDE_PART = regex.compile(r"\p{Lu}{3,}(?!\p{Ll})|\p{Lu}?[\p{Ll}\p{M}]{2,}|[\p{Lo}\p{Lm}\p{M}]{2,}")
 
 
 class _Slots(dict):
     """Slot of each word part, remembered; -1 for parts that do not count."""
 
     def __missing__(self, part):
-        slot = zlib.crc32(part.lower().encode()) & (SLOTS - 1) if len(part) > 2 else -1
+        counts = len(part) > 2 or part.lower() == part.upper()
+        slot = zlib.crc32(part.lower().encode("utf-8", "replace")) & (SLOTS - 1) if counts else -1
         self[part] = slot
         return slot
 
 
 def slot_counts(text, slots) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of a text and the damped count log(1 + n) of each."""
-    ids = np.fromiter((slots[p] for p in _PART.findall(text)), np.int32) if text else np.zeros(0, np.int32)
+    parts = (_PART if text.isascii() else _WIDE_PART).findall(text) if text else []
+    ids = np.fromiter((slots[p] for p in parts), np.int32)
     ids, n = np.unique(ids, return_counts=True)
     at = int(len(ids) > 0 and ids[0] < 0)
     return ids[at:], np.log1p(n[at:]).astype(np.float32)
 
 
-def features(documents: DataFrame, foreign: list[str] | None = None) -> DataFrame:
+def features(documents: DataFrame, foreign: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, slots array<int>, counts array<float> (damped, so that boilerplate does not outweigh).
 
-    Stretches that are a text of ``foreign`` (see :mod:`lodestrata.llm.leakage`) are left out; their words count elsewhere.
+    Stretches that are an item of ``foreign`` (item_id, item_text; see :mod:`lodestrata.llm.leakage`) are left
+    out, block of items by block within one pass over the documents; their words count elsewhere.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    shared = share(documents.sparkSession, ItemIndex(list(enumerate(foreign or [])), RUN, ALTERED))
+    texts = documents.select("doc_id", "text")
+    for index in item_blocks(foreign, block_bytes, RUN, ALTERED) if foreign is not None else ():
+        if not index.ids:
+            continue
+        shared = share(documents.sparkSession, index)
+
+        def leave_out(batches, shared=shared):
+            items = pickle.loads(shared.value)
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [items.without(t) for t in batch["text"]]})
+
+        texts = texts.mapInPandas(leave_out, f"doc_id {kind}, text string")
 
     def count(batches):
-        items, slots = pickle.loads(shared.value), _Slots()
+        slots = _Slots()
         for batch in batches:
-            found = [slot_counts(items.without(t) if items.ids else t, slots) for t in batch["text"]]
+            found = [slot_counts(t, slots) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": [s for s, _ in found], "counts": [c for _, c in found]})
 
-    return documents.select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, slots array<int>, counts array<float>")
+    return texts.mapInPandas(count, f"doc_id {kind}, slots array<int>, counts array<float>")
 
 
 def evidence(counts: np.ndarray) -> np.ndarray:
@@ -147,6 +167,9 @@ def refine(vectors: DataFrame, ratio: np.ndarray, width: int) -> np.ndarray:
         yield pd.DataFrame({"slot": used} | {f"n{k}": total[used, k] for k in range(width)})
 
     columns = [f"n{k}" for k in range(width)]
+    # A task sends one row per slot, however many documents it has: few large tasks send least.
+    tasks = max(1, 4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    vectors = vectors.select("slots", "counts").coalesce(tasks)
     parts = vectors.select("slots", "counts").mapInPandas(expect, "slot int, " + ", ".join(f"{c} double" for c in columns))
     sums = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     return _sums(pd.DataFrame({"slot": sums["slot"], "n": list(sums[columns].to_numpy())}), width)
@@ -266,9 +289,9 @@ def posteriors(vectors: DataFrame, model: Model, least: float = 0.5, most: int =
     return vectors.mapInPandas(judge, f"doc_id {kind}, subject string, posterior double")
 
 
-def foreign_texts(texts: DataFrame) -> list[str]:
-    """The distinct item texts."""
-    return [r[0] for r in texts.where(F.col("item_text").isNotNull()).select("item_text").distinct().collect()]
+def foreign_items(texts: DataFrame) -> DataFrame:
+    """The distinct item texts as items."""
+    return texts.where(F.col("item_text").isNotNull()).select("item_text").distinct().select(F.xxhash64("item_text").alias("item_id"), "item_text")
 
 
 def subject_areas(
@@ -279,10 +302,10 @@ def subject_areas(
     ``foreign`` (item_text): texts like test items that may have leaked into documents; the stretches
     where they did are not taken for the documents' own.
     """
-    names = [r[0] for r in areas.where(F.col("subject").isNotNull()).select("subject").distinct().orderBy("subject").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 subjects")
-    vectors = cut_lineage(features(documents, foreign_texts(foreign) if foreign is not None else None))
+    names = [r[0] for r in areas.where(F.col("subject").isNotNull()).select("subject").distinct().orderBy("subject").limit(SUBJECTS + 1).collect()]
+    if len(names) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
+    vectors = stored(features(documents, foreign_items(foreign) if foreign is not None else None), "vectors")
     model = train(vectors, labels, names, passes)
     if model is None:
         return vectors.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("posterior")).limit(0)

@@ -40,9 +40,9 @@ def test_p8_found_against_brute_force(spark, sf_dir):
     want = set()
     for d in read(sf_dir, "documents"):
         words = plain_words(d["text"])
-        # Two words of an item in a row are the least that any match holds.
-        pairs = set(zip(words, words[1:]))
-        want |= {(d["doc_id"], n) for n, item in items if sum(p in pairs for p in zip(item, item[1:])) >= 5 and holds(words, item)}
+        there = set(words)
+        # Either kind of match has ten words of the item, or all but a quarter.
+        want |= {(d["doc_id"], n) for n, item in items if sum(w in there for w in item) >= min(10, len(item) - len(item) // 4) and holds(words, item)}
     assert got == want and got
 
 
@@ -70,8 +70,8 @@ def test_leaks_odd_cases(spark):
         [(1, ITEM, 5), (1, ITEM, 5), (2, None, 5), (3, "", 5), (4, long_text, 5), (5, "go now", 5), (6, "?!", 5)], "doc_id long, text string, item_id int"
     )
     items = spark.createDataFrame([(10, ITEM, 0), (11, "", 0), (12, None, 0), (13, "Go, now!", 0), (14, "stairs", 0), (15, "--", 0)], "item_id long, item_text string, doc_id int")
-    for block in (50_000, 2):
-        got = sorted(tuple(r)[:2] for r in leakage.leaks(documents, items, items_per_block=block).collect())
+    for block in (1 << 20, 8):
+        got = sorted(tuple(r)[:2] for r in leakage.leaks(documents, items, block_bytes=block).collect())
         assert got == [(1, 10), (1, 14), (4, 10), (4, 14), (5, 13)]
     assert leakage.leaks(documents.limit(0), items).count() == 0 and leakage.leaks(documents, items.limit(0)).count() == 0
 
@@ -82,6 +82,12 @@ def test_reparameterised_questions_need_consistent_slots():
     other = item.replace("Alice", "Bob").replace("km", "miles").replace("12", "30").replace("8", "9").replace("3 ", "7 ").replace("5", "6")
     assert index.search(other) == [(1, "reparameterised")]
     assert index.search(other.replace("7 friends", "8 friends")) == []
+    quantities = "Then Ada pours 10km of 1e5 rope over 300 kelvin while the kettle of Ada sings for 2x nights"
+    asked = leakage.ItemIndex([(1, quantities)], 10, 0.25)
+    said = "then Zelda pours 12km of 2e7 rope over 450 kilometres while the kettle of Zelda sings for 9x nights"
+    assert asked.search(said) in ([(1, "reparameterised")], [(1, "whole")])
+    assert leakage.ItemIndex([(1, quantities)], 10, 0.1).search(said) == [(1, "reparameterised")]
+    assert leakage.ItemIndex([(1, quantities)], 10, 0.1).search(said.replace("of Zelda", "of Boris")) == []
     assert leakage.window_length(40, 0.25) == 3 and leakage.window_length(8, 0.25) == 2 and leakage.window_length(1, 0.25) == 1
 
 
@@ -165,3 +171,37 @@ def test_words_of_leaked_items_are_not_the_documents_own(spark):
     items = spark.createDataFrame([("Kites, ropes and bells.",), (None,)], "item_text string")
     got = {(r.doc_id, r.subject) for r in subjects.subject_areas(documents, labels, areas, foreign=items).where("doc_id >= 50").collect()}
     assert got == {(50, "cook")}
+
+
+def test_any_number_of_words_and_names_in_any_case(spark):
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(3_000_000)}q" for _ in range(40))) for i in range(2000)]
+    items.append((9999, "When Marlow met Quentin they spoke of harbours and lights until the tide turned"))
+    index = leakage.ItemIndex(items, 10, 0.25)
+    for i in (0, 1000, 1999):
+        assert index.search("x = 1; # " + " ".join(items[i][1].split()[15:25])) == [(i, "passage")]
+    # Numbers beyond the cube root of 64 bits wrap in a window's key; they still find what they should.
+    index.number = {w: n + (1 << 45) for w, n in index.number.items()}
+    assert index.keys(index.numbers_of(items[0][1].split()), 3)[1].all()
+    for text in (items[-1][1].lower(), items[-1][1].upper()):
+        assert leakage.ItemIndex(items[-1:], 10, 0.25).search(text) == [(9999, "passage")]
+
+
+def test_words_of_any_script_count():
+    slots = subjects._Slots()
+    for text, n in (("école Élève_naïve", 3), ("хлеб печьХлеб", 2), ("面包 烤箱", 2), ("λόγος", 1), ("ab é x9", 0), ("snake_caseWord HTTPServer", 5)):
+        assert len(subjects.slot_counts(text, slots)[0]) == n, text
+
+
+def test_refill_against_filling_step_by_step(spark):
+    rng = random.Random(5)
+    counts = spark.createDataFrame([(i, f"s{i}", rng.randrange(1, 50)) for i in range(40)], "doc_id int, source string, tokens long")
+    rows = [("m", f"s{i}", rng.choice([0.0, rng.random()]), rng.randrange(0, 5), 1.5) for i in range(45)]
+    plan = mixing.budgets(counts, spark.createDataFrame(rows, "mix_name string, source string, target_weight double, max_repeats int, size_ratio double"), refill=True).toPandas()
+    budget = np.zeros(len(plan))
+    for _ in range(200):
+        room = np.where(budget < plan.cap - 1e-9, plan.target_share, 0)
+        if room.sum() == 0:
+            break
+        budget = np.minimum(budget + (plan.wanted.max() - budget.sum()) * room / room.sum(), plan.cap)
+    assert np.allclose(plan.budget, budget) and abs(plan.budget.sum() - min(plan.wanted.max(), plan.cap[plan.target_share > 0].sum())) < 1e-6
