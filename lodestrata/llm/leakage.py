@@ -110,6 +110,25 @@ def needed_windows(n: int, run: int, altered: float) -> int:
     return max(1, min(whole, run - w + 1) if n >= run else whole)
 
 
+class _Numbers(dict):
+    """Numbers of words met so far: those of the items, and for any other word that of numbers or 0."""
+
+    def __init__(self, known: dict[str, int], digits: int):
+        super().__init__(known)
+        self.digits = digits
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.digits if word[0].isdigit() else 0
+        return number
+
+
+def may_hold(item: np.ndarray, text: np.ndarray, edits: int) -> bool:
+    """False if so many words of the item are not in the text at all that it cannot be there with so few edits."""
+    size = int(item.max()) + 1
+    here = text[(text >= 0) & (text < size)]
+    return int(np.minimum(np.bincount(item, minlength=size), np.bincount(here, minlength=size)).sum()) >= len(item) - edits
+
+
 class ItemIndex:
     """The template windows of a block of items as sorted arrays."""
 
@@ -134,6 +153,7 @@ class ItemIndex:
             if kind:
                 self.number.update((w, kind) for w in of if template(w, names) in self.number and self.number[template(w, names)] == kind)
         self.slots = {self.digits, self.unit, self.name} - {0}
+        self._met = None
         self.needed = np.array([needed_windows(len(x), run, altered) for x in self.words], np.int64)
         self.length = np.array([len(x) for x in self.words], np.int64)
         self.templates = [self.numbers_of(x) for x in self.words]
@@ -156,14 +176,17 @@ class ItemIndex:
 
     def numbers_of(self, found: list[str], text: str | None = None) -> np.ndarray:
         """Template numbers of words; with their ``text``, capitalised words that no item has are names."""
-        get, digits = self.number.get, self.digits
-        ids = [get(w, 0) for w in found]
-        if digits:
-            ids = [digits if not i and w[0].isdigit() else i for i, w in zip(ids, found)]
-        if self.name and text:
+        if self._met is None or len(self._met) > 1 << 20:
+            self._met = _Numbers(self.number, self.digits)
+        met = self._met
+        ids = np.fromiter((met[w] for w in found), np.int64, len(found))
+        if self.name and text and not ids.all():
             capitalised = {w.lower() for w in _CAPITALISED.findall(text)}
-            ids = [self.name if not i and w in capitalised else i for i, w in zip(ids, found)]
-        return np.array(ids, np.int64)
+            if capitalised:
+                for i in np.nonzero(ids == 0)[0].tolist():
+                    if found[i] in capitalised:
+                        ids[i] = self.name
+        return ids
 
     def keys(self, ids: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit hash per window, and whether all its words are known."""
@@ -235,9 +258,11 @@ class ItemIndex:
         number: dict[str, int] = {}
         exact = np.array([number.setdefault(w, len(number)) for w in item])
         for a, b in regions:
-            there = np.array([number.get(w, -1) for w in found[a:b]])
-            if least_edits(exact, there)[0] <= edits:
+            there = np.array([number.get(w, -1) for w in found[a:b]], np.int64)
+            if may_hold(exact, there, edits) and least_edits(exact, there)[0] <= edits:
                 return "whole"
+            if not self.slots or not may_hold(self.templates[k], ids[a:b], edits):
+                continue
             distance, end = least_edits(self.templates[k], ids[a:b])
             low = a + max(0, end - len(item) - edits)
             if distance <= edits and self.consistent(k, found[low : a + end], ids[low : a + end]):
@@ -262,9 +287,14 @@ class ItemIndex:
                 if k in self.runs.get(tuple(found[i : i + self.run]), ()):
                     yield i, i + self.run
             there = np.array([number.get(w, -1) for w in found[a:b]], np.int64)
-            for low, high in occurrences(exact, there, edits):
-                yield a + low, a + high
-            for low, high in occurrences(self.templates[k], ids[a:b], edits):
+            rest = ids[a:b].copy()
+            if may_hold(exact, there, edits):
+                for low, high in occurrences(exact, there, edits):
+                    yield a + low, a + high
+                    rest[low:high] = 0
+            if not self.slots or not may_hold(self.templates[k], rest, edits):
+                continue
+            for low, high in occurrences(self.templates[k], rest, edits):
                 if self.consistent(k, found[a + low : a + high], ids[a + low : a + high]):
                     yield a + low, a + high
 
@@ -303,27 +333,34 @@ class ItemIndex:
         return out
 
 
-def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """The least number of altered, lost or inserted words of the item anywhere in the text, and where it ends."""
-    steps = np.arange(len(item) + 1)
-    column, best = steps.copy(), (len(item), 0)
-    for end, word in enumerate(text, 1):
-        change = np.minimum(column[:-1] + (item != word), column[1:] + 1)
-        column = np.minimum.accumulate(np.concatenate(([0], change)) - steps) + steps
-        if column[-1] < best[0]:
-            best = int(column[-1]), end
-    return best
+def edits_by_end(item: np.ndarray, text: np.ndarray, anywhere: bool = True) -> np.ndarray:
+    """The least number of altered, lost or inserted words of the item ending after each word of the text, from anywhere or from its first word.
 
+    The columns of the dynamic program are kept as differences in the bits of two integers, so a word
+    costs a few operations however long the item is.
+    """
+    places: dict[int, int] = {}
+    for j, word in enumerate(item.tolist()):
+        places[word] = places.get(word, 0) | 1 << j
+    mask, top, first = (1 << len(item)) - 1, len(item) - 1, 0 if anywhere else 1
+    more, less, score, out = mask, 0, len(item), []
+    for word in text.tolist():
+        equal = places.get(word, 0)
+        vertical = equal | less
+        flat = (((equal & more) + more) ^ more) | equal
+        up, down = less | (mask & ~(flat | more)), more & flat
+        score += (up >> top & 1) - (down >> top & 1)
+        up, down = up << 1 & mask | first, down << 1 & mask
+        more, less = down | (mask & ~(vertical | up)), up & vertical
+        out.append(score)
+    return np.array(out, np.int64)
 
-def edits_by_end(item: np.ndarray, text: np.ndarray, anywhere: bool = True) -> np.ndarray:
-    """The least edits of the item ending after each word of the text, from anywhere or from its first word."""
-    steps = np.arange(len(item) + 1)
-    column, out = steps.copy(), np.empty(len(text), np.int64)
-    for end, word in enumerate(text):
-        change = np.minimum(column[:-1] + (item != word), column[1:] + 1)
-        column = np.minimum.accumulate(np.concatenate(([0 if anywhere else end + 1], change)) - steps) + steps
-        out[end] = column[-1]
-    return out
+
+def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """The least number of edits of the item anywhere in the text, and where it ends."""
+    by_end = edits_by_end(item, text)
+    end = int(np.argmin(by_end)) if len(by_end) else 0
+    return (int(by_end[end]), end + 1) if len(by_end) and by_end[end] < len(item) else (len(item), 0)
 
 
 def occurrences(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, int]]:

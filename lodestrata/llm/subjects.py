@@ -78,27 +78,31 @@ def features(documents: DataFrame, foreign: DataFrame | None = None, block_bytes
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select("doc_id", "text")
+    last = None
     for index in item_blocks(foreign, block_bytes, RUN, ALTERED) if foreign is not None else ():
-        if not index.ids:
-            continue
-        shared = share(documents.sparkSession, index)
-
-        def leave_out(batches, shared=shared):
-            items = pickle.loads(shared.value)
-            for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [items.without(t) for t in batch["text"]]})
-
-        texts = texts.mapInPandas(leave_out, f"doc_id {kind}, text string")
+        if last is not None:
+            texts = texts.mapInPandas(_leaving_out(last), f"doc_id {kind}, text string")
+        last = share(documents.sparkSession, index) if index.ids else last
 
     def count(batches):
         slots = _Slots()
+        items = pickle.loads(last.value) if last is not None else None
         for batch in batches:
-            found = [slot_counts(t, slots) for t in batch["text"]]
+            found = [slot_counts(items.without(t) if items else t, slots) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": [s for s, _ in found], "counts": [c for _, c in found]})
 
     return texts.mapInPandas(count, f"doc_id {kind}, slots array<int>, counts array<float>")
 
 
+def _leaving_out(shared):
+    def run(batches):
+        items = pickle.loads(shared.value)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [items.without(t) for t in batch["text"]]})
+
+    return run
+
+
 def evidence(counts: np.ndarray) -> np.ndarray:
     """Per slot: p(word | subject) / p(word | complement of the subject); the background (last) has a constant."""
     used = counts.sum(1) > 0

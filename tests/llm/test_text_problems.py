@@ -205,3 +205,20 @@ def test_refill_against_filling_step_by_step(spark):
             break
         budget = np.minimum(budget + (plan.wanted.max() - budget.sum()) * room / room.sum(), plan.cap)
     assert np.allclose(plan.budget, budget) and abs(plan.budget.sum() - min(plan.wanted.max(), plan.cap[plan.target_share > 0].sum())) < 1e-6
+
+
+@pytest.mark.parametrize("anywhere", [True, False])
+def test_edits_against_the_plain_table(anywhere):
+    rng = random.Random(3)
+    for _ in range(300):
+        item, text = ([rng.randrange(4) for _ in range(rng.randrange(1, n))] for n in (9, 14))
+        column, want = list(range(len(item) + 1)), []
+        for end, word in enumerate(text, 1):
+            new = [0 if anywhere else end]
+            for j, mine in enumerate(item, 1):
+                new.append(min(column[j - 1] + (mine != word), column[j] + 1, new[j - 1] + 1))
+            column = new
+            want.append(column[-1])
+        assert leakage.edits_by_end(np.array(item), np.array(text), anywhere).tolist() == want
+        edits = rng.randrange(len(item))
+        assert min(want) > edits or leakage.may_hold(np.array(item), np.array(text), edits) or not anywhere
