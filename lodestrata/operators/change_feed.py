@@ -13,9 +13,13 @@ keys are a key of their own; entries without a sequence are ignored; an entry de
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.files import Files
+
 KEY = ["table_name", "row_key"]
 
 
@@ -54,22 +58,42 @@ def read_live(inserts: DataFrame, removed: DataFrame, values: bool = True) -> Da
 
 
 class EqualityDeleteTable:
-    """The same on files: ``inserts`` and ``deletes`` folders, one part per batch identifier."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """The same on files: each batch is a folder with ``inserts`` and ``deletes`` and one record that commits both.
 
-    def append(self, feed: DataFrame, batch_id: str) -> None:
-        """Idempotent by batch identifier: a repeated append overwrites its own files."""
-        for name, part in zip(("inserts", "deletes"), split_changes(feed)):
-            part.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
+    A reader sees the batches that have a record, so never an insert whose batch's deletes are missing.
+    """
 
-    def read(self) -> DataFrame:
-        inserts, removed = (self.spark.read.parquet(f"{self.path}/{n}") for n in ("inserts", "deletes"))
-        return read_live(inserts, removed)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.files = spark, Files(spark, path)
+
+    def _commit(self, batch_id: str, inserts: DataFrame, removed: DataFrame) -> bool:
+        if self.files.exists(f"records/{batch_id}.json"):
+            return False
+        folder = f"batches/{batch_id}-{uuid.uuid4().hex}"
+        inserts.write.parquet(self.files.at(f"{folder}/inserts"))
+        removed.write.parquet(self.files.at(f"{folder}/deletes"))
+        try:
+            self.files.create(f"records/{batch_id}.json", folder)
+        except FileExistsError:
+            self.files.delete(folder)
+            return False
+        return True
+
+    def append(self, feed: DataFrame, batch_id: str) -> bool:
+        """Idempotent by batch identifier: False if the batch was appended before."""
+        return self._commit(batch_id, *split_changes(feed))
+
+    def _parts(self) -> tuple[DataFrame, DataFrame] | None:
+        folders = [self.files.read(f"records/{n}") for n in self.files.names("records")]
+        return tuple(self.spark.read.parquet(*[self.files.at(f"{f}/{part}") for f in folders]) for part in ("inserts", "deletes")) if folders else None
+
+    def read(self) -> DataFrame | None:
+        """The live rows; None before the first batch."""
+        parts = self._parts()
+        return None if parts is None else read_live(*parts)
 
     def compact(self, target: str) -> None:
-        """Rewrite as live inserts plus the newest delete of each key, which late arrivals still need."""
-        inserts, removed = (self.spark.read.parquet(f"{self.path}/{n}") for n in ("inserts", "deletes"))
-        read_live(inserts, removed).write.mode("overwrite").parquet(f"{target}/inserts/batch_id=compacted")
-        removed.groupBy(*KEY).agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{target}/deletes/batch_id=compacted")
+        """A new table of live inserts and the newest delete of each key, which late arrivals still need."""
+        inserts, removed = self._parts()
+        newest = removed.groupBy(*KEY).agg(F.max("seq").alias("seq"))
+        EqualityDeleteTable(self.spark, target)._commit("compacted", read_live(inserts, removed), newest)

@@ -609,6 +609,17 @@ def stream_dedup_sequence(spark, d):
     return spark.read.parquet(f"{path}/out").agg(F.count("*").alias("entries"), F.count_distinct("seq").alias("sequences"))
 
 
+@query(f"SELECT row_key, seq, row_value, is_deleted FROM {LOG}")
+def stream_dedup_ranges(spark, d):
+    """Every entry delivered twice, in one micro-batch and over a restart; the ranges of seen sequences keep one."""
+    path = scratch_path(spark, "stream")
+    twice = _event_feed(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    once = feed.SeenRanges(spark, f"{path}/seen", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
+    once.start(twice, f"{path}/checkpoint").awaitTermination()
+    once.merge(adapters.event_log(spark, d).select("seq", "row_key", "row_value", "is_deleted"), 1)
+    return spark.read.parquet(f"{path}/out").select("row_key", "seq", "row_value", "is_deleted")
+
+
 _REPORTS = """(SELECT s.table_name, node_id, reported_at, last_applied_seq AS applied, top AS leader
                FROM node_status s LEFT JOIN (SELECT table_name, max(seq) AS top FROM kv_leader GROUP BY 1) USING (table_name))"""
 

@@ -3,12 +3,11 @@
 Batch and stream alike take the options ``after`` (exclusive sequence) and ``table``. Files are
 read with Arrow on the executors, one partition per file; sequences in part names keep parts out
 that hold nothing wanted. The stream's offset is a sequence, so a stream resumes at the entry
-after the last one it saw. The root must be a path that every executor can open as a file.
+after the last one it saw. The root is a path or URI that Arrow can open (file, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -25,19 +24,36 @@ class LogFile(InputPartition):
     upto: int
 
 
+def opened(root: str):
+    """(Arrow file system, path) of a root."""
+    from pyarrow import fs
+
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root.removeprefix("file:")
+
+
+def listed(system, folder: str) -> list[str]:
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found)
+
+
 def parts_of(root: str) -> list[tuple[int, int, str]]:
     """(first, last, folder) of every committed part."""
-    log = os.path.join(root.removeprefix("file:"), "log")
-    names = sorted(n for n in os.listdir(log) if n.startswith("part-")) if os.path.isdir(log) else []
-    return [(int(n.split("-")[1]), int(n.split("-")[2]), os.path.join(log, n)) for n in names]
+    system, path = opened(root)
+    names = [(p, p.rsplit("/", 1)[1].split("-")) for p in listed(system, f"{path}/log")]
+    return [(int(n[1]), int(n[2]), p) for p, n in names if n[0] == "part"]
 
 
 def files_between(root: str, after: int, upto: int) -> list[LogFile]:
+    system, _ = opened(root)
     wanted = [folder for first, last, folder in parts_of(root) if last > after and first <= upto]
-    return [LogFile(os.path.join(f, n), after, upto) for f in wanted for n in sorted(os.listdir(f)) if n.endswith(".parquet")]
+    return [LogFile(n, after, upto) for f in wanted for n in listed(system, f) if n.endswith(".parquet")]
 
 
-def batches_of(part: LogFile, table: str | None):
+def batches_of(root: str, part: LogFile, table: str | None):
     """Arrow batches of the wanted entries, filtered while reading."""
     import pyarrow as pa
     import pyarrow.dataset as ds
@@ -47,7 +63,7 @@ def batches_of(part: LogFile, table: str | None):
         wanted &= ds.field("table_name") == table.lower()
     form = ds.ParquetFileFormat(read_options=ds.ParquetReadOptions(coerce_int96_timestamp_unit="us"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for batch in ds.dataset(part.path, format=form).to_batches(filter=wanted, columns=names):
+    for batch in ds.dataset(part.path, format=form, filesystem=opened(root)[0]).to_batches(filter=wanted, columns=names):
         last = batch.column(len(names) - 1).cast(pa.timestamp("us", "UTC"))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last], names=names)
 
@@ -61,7 +77,7 @@ class LogReader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
-            yield from batches_of(partition, self.table)
+            yield from batches_of(self.root, partition, self.table)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -79,7 +95,7 @@ class LogStreamReader(DataSourceStreamReader):
 
     def read(self, partition):
         if partition.path:
-            yield from batches_of(partition, self.table)
+            yield from batches_of(self.root, partition, self.table)
 
 
 class LogSource(DataSource):

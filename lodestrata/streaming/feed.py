@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestrata.operators import versions
+from lodestrata.operators import exactly_once, versions
+from lodestrata.session import cut_lineage
 from lodestrata.sources.files import Files
 from lodestrata.sources.version_log import ENTRY
 
@@ -31,10 +32,40 @@ def read_feed(spark: SparkSession, path: str, schema: T.StructType = ENTRY, afte
 
 
 def deduplicated(feed: DataFrame) -> DataFrame:
-    """Each sequence once, over the whole life of the query."""
+    """Each sequence once, over the whole life of the query; the state grows with the sequences (see :class:`SeenRanges`)."""
     return feed.dropDuplicates(["seq"])
 
 
+class SeenRanges:
+    """Each sequence once over the whole life of a feed, with disjoint ranges of sequences as state.
+
+    The state of a feed without lasting gaps is a few ranges per chunk of the sequence space. It is
+    written per micro-batch, so a batch that is delivered again gives the same rows again and counts once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None]):
+        self.spark, self.files, self.handle = spark, Files(spark, path), handle
+
+    def _seen(self, number: int) -> DataFrame | None:
+        known = [n for n in self.files.names("") if n.startswith("seen-") and int(n.split("-")[1]) < number and self.files.exists(f"{n}/_SUCCESS")]
+        return self.spark.read.parquet(self.files.at(known[-1])) if known else None
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        """Hands the rows with new sequences (one each, the smallest of equals) to ``handle``, then keeps the ranges."""
+        seen = self._seen(batch_id)
+        others = [c for c in batch.columns if c != "seq"]
+        first = batch.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.min(F.struct(*others)).alias("row")).withColumn("producer", F.lit(""))
+        new = cut_lineage(exactly_once.uncovered(first, seen))
+        self.handle(new.select("seq", "row.*").select(*batch.columns), batch_id)
+        exactly_once.merge_ranges(new, seen).write.mode("overwrite").parquet(self.files.at(f"seen-{batch_id:012d}"))
+        for name in self.files.names(""):
+            if name.startswith("seen-") and int(name.split("-")[1]) < batch_id - 1:
+                self.files.delete(name)
+
+    def start(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
+        return feed.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def streamed_state(feed: DataFrame) -> DataFrame:
     """Newest version per key as a streaming aggregation (complete or update mode)."""
     version = F.struct("seq", "is_deleted", "row_value")

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,52 @@ def test_of_two_runs_with_the_same_plan_one_commits(spark, tmp_path):
         incremental.run_batch(spark, incremental.list_files(spark, str(inbox)), one, "b1", out, meanwhile)
     assert incremental.committed_output(spark, one, out).count() == 1 and one.read().count() == 1
     assert json.loads(one.files.read("committed/000000000001.json"))["batch_id"] == "b2"
+
+
+def test_a_damaged_page_is_found(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.store.put_rows("kv", spark.range(2000).selectExpr("cast(id AS string) AS row_key", "sha2(cast(id AS string), 256) AS row_value"))
+    part = max((p for p in (tmp_path / "db" / "log").rglob("*.parquet")), key=lambda p: p.stat().st_size)
+    assert e.store.state("kv").agg(F.max("row_value")).first()[0]
+    data = bytearray(part.read_bytes())
+    chunk = next(c for c in map(pq.ParquetFile(part).metadata.row_group(0).column, range(7)) if c.path_in_schema == "row_value")
+    at = chunk.data_page_offset + chunk.total_compressed_size // 2
+    data[at : at + 8] = bytes(255 - b for b in data[at : at + 8])
+    part.write_bytes(data)
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt|FAILED_READ_FILE"):
+        Engine(spark, str(tmp_path / "db")).store.state("kv").agg(F.max("row_value"), F.max("row_key")).collect()
+
+
+def test_a_client_tries_again(spark, tmp_path):
+    from lodestrata.client import Client
+
+    root, pauses = str(tmp_path / "db"), []
+    one, two = Client(Engine(spark, root)), Client(Engine(spark, root), pause=pauses.append)
+    one.put("a", "1")
+    two.put("b", "2")
+    assert len(pauses) == 1 and two.range() == [("a", "1"), ("b", "2")]
+    one.engine.store._load()
+    with two.begin() as tx:
+        tx.put("c", "3")
+        one.put("d", "4")
+    assert [r.row_key for r in two.changes()] == ["a", "b", "d", "c"] == [r.row_key for r in two.follow(polls=1)]
+    with pytest.raises(ZeroDivisionError), two.begin() as tx:
+        tx.put("e", "5")
+        raise ZeroDivisionError
+    assert two.get("e") is None
+    with pytest.raises(EngineError):
+        two.execute("FLY")
+    repeatable = two.begin("REPEATABLE READ")
+    assert repeatable.get("a") == "1"
+    repeatable.put("a", "9")
+    one.engine.store._load()
+    one.put("a", "2")
+    with pytest.raises(EngineError):
+        repeatable.commit()
+    assert Client(Engine(spark, root)).get("a") == "2"
+    prepared = two.begin()
+    prepared.put("p", "1")
+    prepared.prepare()
+    prepared.commit_prepared()
+    assert prepared.state() == "committed" and two.get("p") == "1"
