@@ -250,6 +250,17 @@ def differing_paths(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([unequal_paths(a, b, load) for a, b in zip(left, right)], dtype=object)
 
 
+def spelled(value) -> str:
+    """Compact JSON of a value with numbers as they were written."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(spelled, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{spelled(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _plain_leaves(text, load):
     """{path: raw text} of one JSON object, for rewriting it into a consistent record."""
     record = parsed_object(text, load)
@@ -258,7 +269,7 @@ def _plain_leaves(text, load):
     return {
         printable(path): None if value is None
         else printable(value) if isinstance(value, str)
-        else canonical(value) if isinstance(value, list) else str(value).lower()
+        else printable(spelled(value))
         for path, value in leaves(record)
     }
 

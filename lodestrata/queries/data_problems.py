@@ -124,26 +124,65 @@ def _nested_sql() -> str:
         SELECT DISTINCT table_name, row_key, parent_path, node_path FROM walk WHERE node_path <> ''"""
 
 
+#: Files in order, their leaves, fields and what started, ended and was renamed; for problem 1.
+_DRIFT = f"""
+    rows AS (SELECT DISTINCT table_name, file_id, row_key, row_value AS v FROM kv_files),
+    every AS (SELECT table_name, file_id, row_key, row_value AS v FROM kv_files),
+    leaves AS MATERIALIZED ({_LEAVES.format(k="table_name, file_id, row_key", t="every")}),
+    files AS (SELECT *, lag(file_id) OVER w AS before, row_number() OVER w AS n
+              FROM (SELECT table_name, file_id, min(written_at) AS written FROM kv_files GROUP BY ALL) WINDOW w AS (PARTITION BY table_name ORDER BY written, file_id)),
+    counts AS (SELECT table_name, file_id, path, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
+               WHEN 'DOUBLE' THEN 'double' WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind, count(*) AS n FROM leaves GROUP BY ALL),
+    fields AS MATERIALIZED (SELECT table_name, file_id, path, arg_max(kind, struct_pack(n := n, k := kind)) FILTER (WHERE kind IS NOT NULL) AS kind
+               FROM counts GROUP BY ALL),
+    started AS (SELECT f.table_name, f.file_id, f.path FROM fields f JOIN files USING (table_name, file_id) WHERE before IS NOT NULL
+                AND NOT EXISTS (SELECT 1 FROM fields o WHERE o.table_name = f.table_name AND o.file_id = before AND o.path = f.path)),
+    ended AS (SELECT files.table_name, files.file_id, o.path FROM files JOIN fields o ON o.table_name = files.table_name AND o.file_id = before
+              WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = files.table_name AND f.file_id = files.file_id AND f.path = o.path)),
+    held AS MATERIALIZED (SELECT table_name, file_id, row_key, path, min(leaf) AS leaf, any_value(kind) AS kind FROM leaves WHERE kind <> 'NULL' GROUP BY ALL),
+    renamed AS MATERIALIZED (SELECT s.table_name, s.file_id, s.path, e.path AS old_path FROM started s JOIN ended e USING (table_name, file_id) JOIN files USING (table_name, file_id)
+                JOIN held a ON a.table_name = s.table_name AND a.file_id = before AND a.path = e.path
+                JOIN held b ON b.table_name = s.table_name AND b.file_id = s.file_id AND b.path = s.path AND b.row_key = a.row_key
+                GROUP BY ALL HAVING count(*) FILTER (WHERE a.leaf = b.leaf) * 2 > count(*)),
+    prints AS MATERIALIZED (SELECT f.table_name, f.file_id, f.written, f.n, count(path) AS n_fields, sha256('[' || coalesce(string_agg(
+                '{{"path":"' || path || '"' || CASE WHEN kind IS NULL THEN '' ELSE ',"type":"' || kind || '"' END || '}}', ',' ORDER BY path), '') || ']') AS fingerprint
+               FROM files f LEFT JOIN fields USING (table_name, file_id) GROUP BY ALL)"""
+_CAST = """CASE field_type WHEN 'integer' THEN CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN CAST(TRY_CAST(raw AS BIGINT) AS VARCHAR) END
+    WHEN 'double' THEN CASE WHEN regexp_full_match(trim(raw), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(TRY_CAST(raw AS DOUBLE) AS VARCHAR) END
+    WHEN 'boolean' THEN CASE WHEN lower(trim(raw)) IN ('t', 'true', 'y', 'yes', '1') THEN 'true' WHEN lower(trim(raw)) IN ('f', 'false', 'n', 'no', '0') THEN 'false' END ELSE raw END"""
+
 ORACLE = {
     "p2_found": _nested_sql(),
+    "p1_versions": f"""
+        WITH {_DRIFT},
+        v AS (SELECT table_name, fingerprint, min(struct_pack(w := written, f := file_id)) AS first, count(*) AS files, any_value(n_fields) AS n_fields FROM prints GROUP BY 1, 2)
+        SELECT table_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY first) AS INTEGER) AS version, fingerprint, files, first.f AS first_file_id, CAST(n_fields AS INTEGER) AS n_fields FROM v""",
+    "p1_consistent": f"""
+        WITH RECURSIVE {_DRIFT},
+        changes AS (SELECT *, CASE WHEN fingerprint IS DISTINCT FROM lag(fingerprint) OVER (PARTITION BY table_name ORDER BY n) THEN 1 ELSE 0 END AS starts FROM prints),
+        segs AS MATERIALIZED (SELECT table_name, file_id, starts, sum(starts) OVER (PARTITION BY table_name ORDER BY n) AS seg FROM changes),
+        here AS (SELECT s.table_name, s.seg, f.path, f.kind, s.seg - row_number() OVER (PARTITION BY s.table_name, f.path ORDER BY s.seg) AS island
+                 FROM segs s JOIN fields f USING (table_name, file_id) WHERE starts = 1),
+        islands AS MATERIALIZED (SELECT table_name, path, min(seg) AS first, max(seg) AS last FROM here GROUP BY table_name, path, island),
+        links AS MATERIALIZED (SELECT o.table_name, o.path, o.first, w.path AS next, w.first AS next_first FROM renamed r JOIN segs s USING (table_name, file_id)
+                  JOIN islands o ON o.table_name = r.table_name AND o.path = r.old_path AND o.last = s.seg - 1 JOIN islands w ON w.table_name = r.table_name AND w.path = r.path AND w.first = s.seg),
+        chain(table_name, path, first, last, target, since) AS (
+            SELECT table_name, path, first, last, path, first FROM islands
+            UNION ALL SELECT c.table_name, c.path, c.first, c.last, l.next, l.next_first FROM chain c JOIN links l ON l.table_name = c.table_name AND l.path = c.target AND l.first = c.since),
+        lineage AS MATERIALIZED (SELECT c.* FROM chain c WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.table_name = c.table_name AND l.path = c.target AND l.first = c.since)),
+        typed AS MATERIALIZED (SELECT l.table_name, l.target, l.since, arg_max(h.kind, h.seg) FILTER (WHERE h.kind IS NOT NULL) AS field_type
+                  FROM lineage l JOIN here h ON h.table_name = l.table_name AND h.path = l.path AND h.seg BETWEEN l.first AND l.last GROUP BY ALL),
+        numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM rows),
+        plain AS MATERIALIZED (SELECT r, substr(j.fullkey, 3) AS path, CASE j.type WHEN 'VARCHAR' THEN j.atom ->> '$' WHEN 'NULL' THEN NULL ELSE CAST(j.value AS VARCHAR) END AS raw
+                  FROM numbered, json_tree(CASE WHEN json_valid(v) THEN CASE WHEN json_type(v) = 'OBJECT' THEN v END END) AS j
+                  WHERE j.type <> 'OBJECT' AND NOT contains(j.path, '[') AND NOT ends_with(j.fullkey, ']')),
+        wide AS (SELECT n.r, n.table_name, n.file_id, n.row_key, t.target AS field_path, t.since, t.field_type, p.raw
+                 FROM numbered n JOIN segs s USING (table_name, file_id) JOIN typed t ON t.table_name = n.table_name
+                 LEFT JOIN lineage l ON l.table_name = n.table_name AND l.target = t.target AND l.since = t.since AND s.seg BETWEEN l.first AND l.last
+                 LEFT JOIN plain p ON p.r = n.r AND p.path = l.path)
+        SELECT table_name, file_id, row_key, field_path, CAST(since AS BIGINT) AS since, field_type, coalesce({_CAST}, raw) AS value, raw IS NOT NULL AND ({_CAST}) IS NULL AS cast_failed FROM wide""",
     "p1_found": f"""
-        WITH rows AS (SELECT table_name, file_id, row_key, row_value AS v FROM kv_files),
-        leaves AS MATERIALIZED ({_LEAVES.format(k="table_name, file_id, row_key", t="rows")}),
-        files AS (SELECT table_name, file_id, lag(file_id) OVER (PARTITION BY table_name ORDER BY written, file_id) AS before
-                  FROM (SELECT table_name, file_id, min(written_at) AS written FROM kv_files GROUP BY ALL)),
-        counts AS (SELECT table_name, file_id, path, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
-                   WHEN 'DOUBLE' THEN 'double' WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind, count(*) AS n FROM leaves GROUP BY ALL),
-        fields AS MATERIALIZED (SELECT table_name, file_id, path, arg_max(kind, struct_pack(n := n, k := kind)) FILTER (WHERE kind IS NOT NULL) AS kind
-                   FROM counts GROUP BY ALL),
-        started AS (SELECT f.table_name, f.file_id, f.path FROM fields f JOIN files USING (table_name, file_id) WHERE before IS NOT NULL
-                    AND NOT EXISTS (SELECT 1 FROM fields o WHERE o.table_name = f.table_name AND o.file_id = before AND o.path = f.path)),
-        ended AS (SELECT files.table_name, files.file_id, o.path FROM files JOIN fields o ON o.table_name = files.table_name AND o.file_id = before
-                  WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = files.table_name AND f.file_id = files.file_id AND f.path = o.path)),
-        held AS MATERIALIZED (SELECT table_name, file_id, row_key, path, min(leaf) AS leaf, any_value(kind) AS kind FROM leaves WHERE kind <> 'NULL' GROUP BY ALL),
-        renamed AS MATERIALIZED (SELECT s.table_name, s.file_id, s.path, e.path AS old_path FROM started s JOIN ended e USING (table_name, file_id) JOIN files USING (table_name, file_id)
-                    JOIN held a ON a.table_name = s.table_name AND a.file_id = before AND a.path = e.path
-                    JOIN held b ON b.table_name = s.table_name AND b.file_id = s.file_id AND b.path = s.path AND b.row_key = a.row_key
-                    GROUP BY ALL HAVING count(*) FILTER (WHERE a.leaf = b.leaf) * 2 > count(*))
+        WITH {_DRIFT}
         SELECT table_name, file_id, 'renamed' AS change_kind, path AS field_path, old_path FROM renamed
         UNION ALL SELECT table_name, file_id, 'added', path, '' FROM started s
             WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.table_name = s.table_name AND r.file_id = s.file_id AND r.path = s.path)
