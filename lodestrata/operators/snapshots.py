@@ -7,14 +7,26 @@ once. Texts that are equal need no parsing; only pairs whose texts differ are co
 Repeated rows of a key in one snapshot count once (the smallest value text). A null value is a
 value of its own. Rows without table, key or snapshot number are compared like any others, nulls
 being equal; rows without a snapshot number are left out.
+
+:class:`SnapshotStore` keeps snapshots in that layout: ranges of the keys' hash, sorted, with borders that
+never move, so a snapshot is shuffled once in its life and any two are merged range by range without
+a shuffle, by a streaming two-pointer pass over the files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import differing_paths
+from lodestrata.functions.json_values import differing_paths, json_loader, unequal_paths
+from lodestrata.session import ship
+from lodestrata.sources.files import Files
+from lodestrata.sources.log_source import listed, opened
 
 KEY = ["table_name", "row_key"]
 
@@ -66,3 +78,98 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     return compared.where((F.col("change_kind") != "changed") | (F.size("changed_paths") > 0)).select(
         "table_name", "snapshot_seq", "row_key", "change_kind", "changed_paths"
     )
+
+
+def _sorted_rows(root: str, folder: str | None, table: str | None) -> Iterator[tuple]:
+    """((hash, key), value) of a table in a range of a snapshot, in order; nothing for no folder."""
+    import pyarrow.dataset as ds
+
+    if folder is None:
+        return
+    system, _ = opened(root)
+    mine = ds.field("table_name") == table if table is not None else ds.field("table_name").is_null()
+    for path in listed(system, folder):
+        if path.endswith(".parquet"):
+            batches = ds.dataset(path, format="parquet", filesystem=system).to_batches(filter=mine, columns=["key_hash", "row_key", "row_value"])
+            for batch in batches:
+                for h, key, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield (h, key is not None, key or ""), value
+
+
+def two_pointers(old: Iterator[tuple], new: Iterator[tuple]) -> Iterator[tuple]:
+    """(place, kind, old value, new value) of what differs between two sorted runs of (place, value)."""
+    a, b = next(old, None), next(new, None)
+    while a or b:
+        if b is None or (a and a[0] < b[0]):
+            yield a[0], "removed", a[1], None
+            a = next(old, None)
+        elif a is None or b[0] < a[0]:
+            yield b[0], "added", None, b[1]
+            b = next(new, None)
+        else:
+            if a[1] != b[1]:
+                yield a[0], "changed", a[1], b[1]
+            a, b = next(old, None), next(new, None)
+
+
+class SnapshotStore:
+    """Snapshots kept on files: ``snapshot_seq=N/r=R/``, one sorted file per range, named by numbered records."""
+
+    def __init__(self, spark: SparkSession, path: str, ranges: int = 64):
+        self.spark, self.files = spark, Files(spark, path)
+        if not self.files.exists("ranges.json"):
+            self.files.create("ranges.json", str(ranges))
+        self.ranges = int(self.files.read("ranges.json"))
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds whole snapshots (table_name, snapshot_seq, row_key, row_value), any number at once, as one commit."""
+        once = rows.where(F.col("snapshot_seq").isNotNull()).groupBy(*KEY, "snapshot_seq").agg(F.min("row_value").alias("row_value"))
+        placed = once.withColumn("key_hash", F.xxhash64("row_key")).withColumn("r", F.pmod(F.shiftright("key_hash", 40), F.lit(self.ranges)).cast("int"))
+        part, number = f"parts/{uuid.uuid4().hex}", len(self.files.names("records")) + 1
+        placed.repartition("snapshot_seq", "r").sortWithinPartitions("snapshot_seq", "r", "table_name", "key_hash", F.asc_nulls_first("row_key")).write.partitionBy("snapshot_seq", "r").parquet(self.files.at(part))
+        held = self.spark.read.parquet(self.files.at(part)).select("table_name", F.col("snapshot_seq").cast("bigint").alias("s")).distinct().collect() if self.files.size(part) else []
+        try:
+            self.files.create(f"records/{number:012d}.json", json.dumps({"part": part, "held": sorted([[r.table_name, r.s] for r in held], key=str)}))
+        except FileExistsError:
+            self.files.delete(part)
+            raise RuntimeError("snapshots were added meanwhile; add these again") from None
+
+    def _places(self) -> dict[str | None, dict[int, str]]:
+        """The part of each snapshot of each table; of a snapshot that was added twice the later one counts."""
+        places: dict[str | None, dict[int, str]] = {}
+        for name in self.files.names("records"):
+            record = json.loads(self.files.read(f"records/{name}"))
+            for table, seq in record["held"]:
+                places.setdefault(table, {})[seq] = record["part"]
+        return places
+
+    def changes(self, since: int | None = None) -> DataFrame:
+        """What :func:`snapshot_changes` gives, of snapshots after ``since`` (all, if it is None); no row is shuffled."""
+        root, tasks = self.files.root, []
+        _, path = opened(root)
+        for table, parts in self._places().items():
+            order = sorted(parts)
+            for before, seq in zip(order, order[1:]):
+                if since is None or seq > since:
+                    at = [f"{path}/{parts[s]}/snapshot_seq={s}/r=" for s in (before, seq)]
+                    tasks += [(table, seq, f"{at[0]}{r}", f"{at[1]}{r}") for r in range(self.ranges)]
+        work = self.spark.createDataFrame(tasks, "table_name string, snapshot_seq bigint, old string, new string")
+
+        def merge(batches):
+            load = json_loader()
+            for batch in batches:
+                for task in batch.itertuples():
+                    table = task.table_name if isinstance(task.table_name, str) else None
+                    out = []
+                    for (_, known, key), kind, old, new in two_pointers(_sorted_rows(root, task.old, table), _sorted_rows(root, task.new, table)):
+                        paths = unequal_paths(old, new, load) if kind == "changed" else []
+                        if kind != "changed" or paths:
+                            out.append((table, task.snapshot_seq, key if known else None, kind, paths))
+                    yield pd.DataFrame(out, columns=["table_name", "snapshot_seq", "row_key", "change_kind", "changed_paths"])
+
+        schema = "table_name string, snapshot_seq bigint, row_key string, change_kind string, changed_paths array<string>"
+        spread = work.repartition(max(1, min(len(tasks), 4 * self.spark.sparkContext.defaultParallelism)))
+        return spread.mapInPandas(merge, schema)
+
+
+ship(__name__)

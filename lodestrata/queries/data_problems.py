@@ -67,6 +67,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(_table(spark, sf_dir, "table_snapshots")).drop("changed_paths")
 
 
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from snapshots that are kept range by range, added in two commits."""
+    rows = _table(spark, sf_dir, "table_snapshots")
+    store = snapshots.SnapshotStore(spark, scratch_path(spark, "snapshots"), ranges=16)
+    middle = rows.agg(F.percentile_approx("snapshot_seq", 0.5)).first()[0]
+    for part in (rows.where(F.col("snapshot_seq") <= middle), rows.where(F.col("snapshot_seq") > middle)):
+        store.add(part)
+    return store.changes().drop("changed_paths")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "change_log")
     return exactly_once.screen_batches(log.select("delivery_id", "seq")).where("late").select("seq", "delivery_id")
@@ -74,7 +84,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_versions, p1_consistent, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found,
+        p1_found, p1_versions, p1_consistent, p2_found, p3_found, p4_found, p5_found, p6_found, p6_kept, p7_found,
     )}
 
 
@@ -236,3 +246,5 @@ ORACLE = {
             SELECT seq, delivery_id, min(delivery_id) OVER (PARTITION BY seq) AS first FROM change_log WHERE seq IS NOT NULL)
         WHERE delivery_id > first""",
 }
+
+ORACLE["p6_kept"] = ORACLE["p6_found"]

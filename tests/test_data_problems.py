@@ -266,6 +266,21 @@ def test_snapshots_odd_cases(spark):
     assert snapshots.snapshot_changes(rows.limit(0)).count() == 0
 
 
+def test_kept_snapshots(spark, tmp_path):
+    data = [("t", 1, "a", '{"x": 1}'), ("t", 1, "a", '{"x": 1}'), ("t", 1, "b", "p"), ("t", 1, None, "n"), ("t", 1, "v", None), ("t", 5, "a", '{"x":1.0,"y":null}'), ("t", 5, "c", "q"),
+            ("t", 5, None, "m"), ("t", 5, "v", ""), ("t", 9, "b", "p"), ("u", 3, "a", "z"), (None, 2, "a", "1"), (None, 4, "a", "2"), ("t", None, "a", "lost"), ("t", 9, "", "e")]
+    rows = spark.createDataFrame(data, "table_name string, snapshot_seq long, row_key string, row_value string")
+    want = rows_of(snapshots.snapshot_changes(rows).drop("changed_paths"), "table_name", "snapshot_seq", "row_key", "change_kind")
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "s"), ranges=3)
+    assert store.changes().count() == 0
+    store.add(rows.where("snapshot_seq <> 5"))
+    store.add(rows.where("snapshot_seq = 5 OR snapshot_seq IS NULL"))
+    store.add(rows.limit(0))
+    again = snapshots.SnapshotStore(spark, str(tmp_path / "s"), ranges=99)
+    assert again.ranges == 3 and rows_of(again.changes().drop("changed_paths"), "table_name", "snapshot_seq", "row_key", "change_kind") == want and len(want) == 11
+    assert {r.snapshot_seq for r in again.changes(since=5).collect()} == {9}
+
+
 def test_snapshot_merge_has_no_hash_exchange_after_ranging(spark, sf_dir, capsys):
     q.p6_found(spark, sf_dir).explain()
     plan = capsys.readouterr().out
