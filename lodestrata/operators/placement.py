@@ -50,6 +50,22 @@ def least_loaded(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(led, "node_id", "left").select("node_id", F.coalesce("tables", F.lit(0)).alias("tables")).orderBy("tables", "node_id").limit(1)
 
 
+def monitoring(reports: DataFrame, leader: DataFrame) -> DataFrame:
+    """The state of every table on every node by its newest report, with its lag behind the leader.
+
+    ``reports``: table_name, node_id, enabled, node_role, current_term, last_applied_seq, reported_at;
+    ``leader``: table_name, leader_seq. Reports without a time are older than any. Of reports of one time the
+    one with the highest term and sequence counts. A node that is not enabled is ``disabled``, whatever it reports;
+    tables of which no leader is known have an unknown lag.
+    """
+    newest = F.max(F.struct("reported_at", "current_term", "last_applied_seq", "node_role", "enabled")).alias("r")
+    latest = reports.groupBy("table_name", "node_id").agg(newest).select("table_name", "node_id", "r.*")
+    both = latest.join(leader, "table_name", "left")
+    behind = lag(F.col("leader_seq"), F.col("last_applied_seq"))
+    status = F.when(~F.coalesce("enabled", F.lit(False)), "disabled").otherwise(lag_status(F.col("leader_seq"), F.col("last_applied_seq")))
+    return both.select("table_name", "node_id", "node_role", "current_term", "last_applied_seq", "leader_seq", behind.alias("lag"), status.alias("status"))
+
+
 def ring_start(table: Column, nodes: int) -> Column:
     """Where a table starts in the sorted node list: the first two bytes of SHA-256, little-endian."""
     digest = F.sha2(table, 256)

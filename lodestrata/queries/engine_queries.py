@@ -649,6 +649,19 @@ def replica_lag_of_reports(spark, d):
     return reports.join(top, "table_name").select("table_name", "node_id", placement.lag(F.col("top"), F.col("last_applied_seq")).cast("bigint").alias("lag"))
 
 
+@query("""
+    WITH n AS (SELECT table_name, node_id, max(struct_pack(a := coalesce(reported_at, TIMESTAMP '0001-01-01'), b := coalesce(current_term, -1), c := coalesce(last_applied_seq, -1), d := coalesce(node_role, ''),
+                      e := coalesce(enabled, false), t := current_term, s := last_applied_seq, o := node_role)) AS r FROM node_status GROUP BY 1, 2),
+    l AS (SELECT table_name, max(seq) AS leader_seq FROM kv_leader GROUP BY 1)
+    SELECT table_name, node_id, r.o AS node_role, r.t AS current_term, r.s AS last_applied_seq, leader_seq,
+        CASE WHEN leader_seq IS NOT NULL AND r.s IS NOT NULL THEN CAST(greatest(0, leader_seq - r.s) AS BIGINT) END AS lag,
+        CASE WHEN NOT r.e THEN 'disabled' WHEN leader_seq IS NULL OR r.s IS NULL THEN 'unknown' WHEN leader_seq <= r.s THEN 'caught-up' ELSE 'behind' END AS status
+    FROM n LEFT JOIN l USING (table_name)""")
+def cluster_monitoring(spark, d):
+    top = adapters.table(spark, d, "kv_leader").groupBy("table_name").agg(F.max("seq").alias("leader_seq"))
+    return placement.monitoring(adapters.table(spark, d, "node_status"), top).withColumn("lag", F.col("lag").cast("bigint"))
+
+
 @query(f"SELECT table_name, node_id, reported_at, coalesce(applied >= greatest(0, leader - 25), false) AS eligible FROM {_REPORTS}")
 def bounded_staleness_eligible(spark, d):
     may = placement.eligible(F.col("applied"), "bounded", F.col("leader"), F.lit(25))

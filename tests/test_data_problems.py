@@ -3,9 +3,11 @@
 import brute
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata.functions.json_values import text_hash
+from lodestrata.functions.json_values import json_loader, text_hash, unequal_paths
 from lodestrata.operators import change_feed, copydiff, drift, exactly_once, incremental, nested, snapshots
 from lodestrata.queries import data_problems as q
 
@@ -331,3 +333,23 @@ def test_changes_that_hash_alike_are_no_differences(spark):
     assert copydiff.compare_copies(a, b).count() == 0
     two = a.unionAll(a.withColumn("row_value", F.lit('{"p": 3}')))
     assert copydiff.compare_copies(two, two).count() == 0 and copydiff.compare_copies(two, a).where("finding <> 'differs'").count() == 0
+
+
+_NUMBERS = st.sampled_from(["0", "-0", "1", "1.0", "10", "1e1", "1.5", "1.50", "0.1", "12345678901234567", "12345678901234568", "1234567890123456789.5", "100000000000000000000", "1E2"])
+_VALUES = st.recursive(
+    _NUMBERS | st.sampled_from(['"a"', '"1"', '"1.0"', "true", "null", '"\\u0061"', '"\\n"', '""', '"a\\"b"']),
+    lambda inner: st.lists(inner, max_size=3).map(lambda x: "[" + ", ".join(x) + "]") | st.dictionaries(st.sampled_from("abc"), inner, max_size=3).map(lambda d: "{" + ",".join(f'"{k}":{v}' for k, v in d.items()) + "}"),
+    max_leaves=5,
+)
+_RECORDS = st.dictionaries(st.sampled_from("ab"), _VALUES, max_size=2).map(lambda d: "{" + ", ".join(f'"{k}": {v}' for k, v in d.items()) + "}")
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow, HealthCheck.data_too_large])
+@given(st.lists(_RECORDS | _VALUES | st.sampled_from(["{} x", "{", "", '{"a":1}], [{}']), min_size=30, max_size=60))
+def test_equal_hashes_mean_equal_values(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1)
+    hashes = [r.h for r in rows.select(text_hash(F.col("v")).alias("h")).collect()]
+    load = json_loader()
+    for a, h in zip(texts, hashes):
+        for b, g in zip(texts, hashes):
+            assert h != g or not unequal_paths(a, b, load), (a, b)
