@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import indexes, search, versions
+from lodestrata.session import stored
 
 MOST_RUNS = {"btree": 2, "fastwrite": 8, "postings": 4}
 
@@ -83,7 +84,8 @@ class StoredIndex(Derived):
     kind = "indexes"
 
     def _write(self, rows: DataFrame, path: str, base: bool) -> dict:
-        entries = indexes.index_rows(rows, self.definition["path"])
+        # Written once before they are ranged: sampling for the ranges would parse every text again.
+        entries = stored(indexes.index_rows(rows, self.definition["path"]), "entries")
         indexes.write_index(entries.where(F.col("indexed_value").isNotNull()) if base else entries, path)
         return {}
 

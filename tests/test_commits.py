@@ -34,6 +34,20 @@ def test_one_of_two_creates_wins(spark, tmp_path):
     assert files.read("a/x") == "one" and files.names("a") == ["x"]
 
 
+def test_creates_without_hard_links(spark, tmp_path, monkeypatch):
+    import os
+
+    def refuse(*_):
+        raise PermissionError
+
+    monkeypatch.setattr(os, "link", refuse)
+    files = Files(spark, str(tmp_path))
+    files.create("a/x", "öne\n")
+    with pytest.raises(FileExistsError):
+        files.create("a/x", "two")
+    assert files.read("a/x") == "öne\n"
+
+
 def test_a_second_writer_is_refused_and_then_up_to_date(spark, tmp_path):
     root = str(tmp_path / "db")
     one, two = Engine(spark, root), Engine(spark, root)
